@@ -43,6 +43,12 @@ def shards(df: DataFrame, mb_each: int) -> int:
     return n if size >= 1 << 60 else max(n, -(-size // (mb_each << 20)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of few rows, so that a batch of long texts fits beside the heap."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(did, th, text): the document key; a null id becomes NULL_ID, a null text ''.
 
@@ -63,12 +69,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        step = labels.join(near, "node").select("node", F.least("label", "seen").alias("to"), F.col("label").alias("was"))
-        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("further"))
-        hooks = step.where("to < was").groupBy(F.col("was").alias("root")).agg(F.min("to").alias("hook"))
+        step = labels.join(near, "node").select("node", F.least("label", "seen").alias("least"), F.col("label").alias("was"))
+        jump = labels.select(F.col("node").alias("least"), F.col("label").alias("further"))
+        hooks = step.where("least < was").groupBy(F.col("was").alias("root")).agg(F.min("least").alias("hook"))
         new = (
-            step.join(jump, "to", "left").join(hooks, step.to == hooks.root, "left")
-            .select("node", "was", F.least("to", F.coalesce("further", "to"), F.coalesce("hook", "to")).alias("label"))
+            step.join(jump, "least", "left").join(hooks, F.col("least") == F.col("root"), "left")
+            .select("node", "was", F.least("least", F.coalesce("further", "least"), F.coalesce("hook", "least")).alias("label"))
         )
         new = stored(new, "labels")
         if new.where("label <> was").isEmpty():

@@ -80,10 +80,7 @@ def types(text: np.ndarray) -> np.ndarray:
 
 def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Eight bytes from each place as one big-endian number; text is padded by at least eight."""
-    out = np.zeros(len(at), np.uint64)
-    for j in range(8):
-        out = (out << U(8)) | text[at + j].astype(np.uint64)
-    return out
+    return np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))[at].astype(np.uint64)
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -108,9 +105,8 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndar
 
 def refine(rank: np.ndarray, key: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Split tied groups by key. rank: place of the group's first member; rows: all members of tied groups. Returns the rows still tied."""
-    order = rows[np.lexsort([key, rank[rows]])]
-    by = np.argsort(rows)
-    k = key[by[np.searchsorted(rows[by], order)]]
+    by = np.lexsort([key, rank[rows]])
+    order, k = rows[by], key[by]
     r = rank[order]
     group = np.concatenate([[True], r[1:] != r[:-1]])
     new = group | np.concatenate([[True], k[1:] != k[:-1]])
@@ -142,13 +138,16 @@ def sorted_stars(text: np.ndarray, star: np.ndarray) -> np.ndarray:
         long = tied[length[tied] > far]
         if not len(long):
             break
-        rows = tied[np.isin(rank[tied], rank[long])]
+        mark = np.zeros(n, bool)
+        mark[rank[long]] = True
+        deep = mark[rank[tied]]
+        rows = tied[deep]
         left = length[rows] - far
         w = words_at(text, np.minimum(star[rows] + far, len(text) - 9))
         sh = (U(8) * (U(8) - np.clip(left, 0, 8).astype(np.uint64))) & U(63)
         w = np.where(left <= 0, ~U(0), np.where(left < 8, w | ((U(1) << sh) - U(1)), w))
         still = refine(rank, w, rows)
-        tied = np.concatenate([tied[~np.isin(tied, rows)], still])
+        tied = np.concatenate([tied[~deep], still])
         far += 8
     step = 1
     while len(tied):

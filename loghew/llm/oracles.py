@@ -16,3 +16,22 @@ k AS (SELECT u.doc_id, string_agg(u.w[u.i + 1], ' ' ORDER BY u.i) FILTER (WHERE
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
+
+ORACLES["op5_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, h FROM (
+  SELECT doc_id, md5(array_to_string(w[i + 1:i + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) AS i FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+sig AS (SELECT doc_id, md5(string_agg(h, '' ORDER BY h)) AS g FROM s GROUP BY 1),
+rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS r FROM sig),
+x AS (SELECT s.doc_id, s.h FROM s JOIN rep ON s.doc_id = rep.doc_id AND rep.r = rep.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+      UNION SELECT r, doc_id FROM rep WHERE r <> doc_id),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(node, seen) AS (SELECT a, a FROM e UNION SELECT e.b, r.seen FROM r JOIN e ON r.node = e.a),
+c AS (SELECT node, min(seen) AS c FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, w.doc_id)::BIGINT AS component_id, coalesce(c.c, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.node
+"""

@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_dedup import dedup_bytes
 from .common import table
+from .mixing import mix_sources
+from .near_dedup import near_groups
+from .packing import pack
 from .substring_dedup import dedup_words
 
 
+#: Where the tokenizer lies; empty: the installed public_tokenizers' byte_bpe_50k.json.
+TOKENIZER = os.environ.get("LOGHEW_TOKENIZER", "")
+
+
+def tokenizer() -> str:
+    if TOKENIZER:
+        return TOKENIZER
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer(), 1024, with_ids=False).drop("ids")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
+    "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
 }

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, shards, stored
+from .common import keyed, shards, small_batches, stored
 from .kernels import U, mix, prefix, ranges, slices, window_argmin
 
-CHUNK = 1 << 20
-HELD = 8
+CHUNK = 1 << 19
+HELD = 12
 ROWS = "slot int, kind int, load binary"
 ROW_TYPE = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("load", pa.binary())])
 CUT, OPEN = 0, 1
@@ -116,7 +116,7 @@ def slot_rows(kind: int, slots: np.ndarray, n: int, columns: dict[str, np.ndarra
 
 
 def anchor_slot(mh: np.ndarray, n: int) -> np.ndarray:
-    return ((mh >> U(40)) * U(n) >> U(24)).astype(np.int32)
+    return ((mix(mh) >> U(40)) * U(n) >> U(24)).astype(np.int32)  # anchors are minima of hashes, so they are hashed again
 
 
 def doc_slot(did: np.ndarray, n: int) -> np.ndarray:
@@ -144,6 +144,7 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, units: Callable, length: int, gram: int):
         self.units, self.length, self.gram = units, length, gram
+        small_batches(docs.sparkSession)
         self.docs = keyed(docs)
         if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
             self.docs = self.docs.withColumn("th", F.lit(0).cast("long"))  # unique ids need no text hash, and a zero costs no bytes
