@@ -1,8 +1,73 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, near duplicates, secrets, mixture, packed sequences.
 
-STAGES = []
+Each stage takes all rows its predecessor kept; all but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from loghew.llm.common import stored
+from loghew.llm.language import UNKNOWN, fit, predict
+from loghew.llm.mixing import mix_sources
+from loghew.llm.near_dedup import near_groups
+from loghew.llm.packing import pack
+from loghew.llm.queries import tokenizer
+from loghew.llm.secrets import find_secrets, redact
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null texts and texts without a letter. lang becomes the predicted one."""
+    net = fit(docs.select("doc_id", "text", "lang"), F.lit(True))
+    got = predict(docs, net).where(F.col("lang_pred") != UNKNOWN) if net else docs.where(F.col("text").rlike(r"\p{L}")).withColumn("lang_pred", F.col("lang"))
+    return got.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays: the least doc_id's (of rows that share it, one)."""
+    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return out
+    n = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return out.withColumn("n", n).where("n = 1").drop("n")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking values go out of the texts; documents stay. n_chars follows the text."""
+    found = find_secrets(docs).where("n_live > 0").select(F.col("doc_id").alias("d")).distinct()
+    found = stored(found, "live")
+    marked = docs.join(found.withColumn("live", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    return redact(marked, F.col("live")).withColumn("n_chars", F.when(F.col("live"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document comes as often as the mix takes it, the one partly taken by its first words."""
+    got = mix_sources(docs).where("taken > 0")
+    part = F.col("taken") % F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    got = got.withColumn("part", F.explode(copies))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
+    got = got.withColumn("text", F.when(F.col("part") > 0, words).otherwise(F.col("text")))
+    return got.withColumn("n_chars", F.when(F.col("part") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of token sequences, with their ids."""
+    return pack(docs, tokenizer(), 1024)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]
+
+#: Learned models and hashes are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_dedup import dedup_bytes
 from .common import table
+from .fingerprints import fingerprint
+from .html_text import extract
+from .jpeg import media_digests
+from .language import identify
 from .mixing import mix_sources
 from .near_dedup import near_groups
 from .packing import pack
+from .secrets import find_secrets
 from .substring_dedup import dedup_words
 
 
@@ -27,6 +32,10 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer(), 1024, with_ids=False).drop("ids")
 
@@ -47,10 +56,31 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op7_fingerprints": op7_fingerprints,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_media_columns": op9_media_columns,
+    "op10_language_id": op10_language_id,
 }
