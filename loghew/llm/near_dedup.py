@@ -122,23 +122,24 @@ def small_pairs(rows: DataFrame, parts: int) -> DataFrame:
 def cross_pairs(rows: DataFrame, parts: int, begin: int, end: int, most: int) -> DataFrame:
     """For each member of a bucket, of its partners within `most` in order of distance those at places begin to end that lie in another component.
 
-    rows: (bucket, did, component, sketch columns). Blocks of 256 members face the bucket's
-    members, so that memory stays at 256 rows of distances; 'more' tells that some member
+    rows: (bucket, did, component, sketch columns). Blocks of members face the bucket's
+    members, so that memory stays at 16 M distances; 'more' tells that some member
     has partners beyond `end`.
     """
     names = [f"o{i}" for i in range(LONGS)]
 
-    def near(key, t: pa.Table) -> pa.Table:
+    def near(t: pa.Table) -> pa.Table:
         did, comp = np.asarray(t.column("did")), np.asarray(t.column("component"))
         order = np.argsort(did)
         did, comp = did[order], comp[order]
         odd = np.stack([np.asarray(t.column(n)).view(np.uint64)[order] for n in names])
         a, b, more = [], [], False
         if (comp != comp[0]).any():
-            for at in range(0, len(did), 256):
-                d = np.zeros((min(256, len(did) - at), len(did)), np.uint16)
+            block = max(1, min(256, (16 << 20) // len(did)))
+            for at in range(0, len(did), block):
+                d = np.zeros((min(block, len(did) - at), len(did)), np.uint16)
                 for o in odd:
-                    d += np.bitwise_count(o[at : at + 256, None] ^ o[None, :])
+                    d += np.bitwise_count(o[at : at + block, None] ^ o[None, :])
                 for r in range(len(d)):
                     ok = np.flatnonzero(d[r] <= most)
                     ok = ok[np.argsort(d[r][ok], kind="stable")]
