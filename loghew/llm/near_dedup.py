@@ -148,9 +148,9 @@ def cross_pairs(rows: DataFrame, parts: int, begin: int, end: int, most: int) ->
                     ok = ok[comp[ok] != comp[at + r]]
                     a.append(np.minimum(did[at + r], did[ok]))
                     b.append(np.maximum(did[at + r], did[ok]))
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pa.table({"a": np.append(a, [0] * more), "b": np.append(b, [0] * more), "more": np.append(np.zeros(len(a), bool), [True] * more)})
+        last = [np.zeros(int(more), np.int64)]  # a row of zeros carries the mark
+        a, b = np.concatenate([*a, *last]), np.concatenate([*b, *last])
+        return pa.table({"a": a, "b": b, "more": np.arange(len(a)) >= len(a) - int(more)})
 
     return rows.groupBy("bucket").applyInArrow(near, "a long, b long, more boolean")
 
