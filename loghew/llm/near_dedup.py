@@ -119,10 +119,12 @@ def small_pairs(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "did").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(rows: DataFrame, parts: int, begin: int, end: int, most: int) -> DataFrame:
+def cross_pairs(rows: DataFrame, begin: int, end: int, most: int, percent: int) -> DataFrame:
     """For each member of a bucket, of its partners within `most` in order of distance those at places begin to end that lie in another component.
 
-    rows: (bucket, did, component, sketch columns). Blocks of members face the bucket's
+    Of the buckets that two documents share only that of their first common band compares
+    them, and sets too unlike in size for the threshold are no partners; neither loses a link.
+    rows: (bucket, did, component, n, bands, sketch columns). Blocks of members face the bucket's
     members, so that memory stays at 16 M distances; 'more' tells that some member
     has partners beyond `end`.
     """
@@ -131,7 +133,9 @@ def cross_pairs(rows: DataFrame, parts: int, begin: int, end: int, most: int) ->
     def near(t: pa.Table) -> pa.Table:
         did, comp = np.asarray(t.column("did")), np.asarray(t.column("component"))
         order = np.argsort(did)
-        did, comp = did[order], comp[order]
+        did, comp, size = did[order], comp[order], np.asarray(t.column("n"))[order]
+        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)[order]
+        here = int(np.flatnonzero(bands[0] == t.column("bucket")[0].as_py())[0])
         odd = np.stack([np.asarray(t.column(n)).view(np.uint64)[order] for n in names])
         a, b, more = [], [], False
         if (comp != comp[0]).any():
@@ -141,7 +145,10 @@ def cross_pairs(rows: DataFrame, parts: int, begin: int, end: int, most: int) ->
                 for o in odd:
                     d += np.bitwise_count(o[at : at + block, None] ^ o[None, :])
                 for r in range(len(d)):
-                    ok = np.flatnonzero(d[r] <= most)
+                    i = at + r
+                    fit = (100 * size >= percent * size[i]) & (100 * size[i] >= percent * size)
+                    ok = np.flatnonzero((d[r] <= most) & fit)
+                    ok = ok[(bands[ok, :here] != bands[i, :here]).all(axis=1)]
                     ok = ok[np.argsort(d[r][ok], kind="stable")]
                     more |= bool((comp[ok[end:]] != comp[at + r]).any())
                     ok = ok[begin:end]
@@ -198,7 +205,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     least = base.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep"))
     member = stored(base.select("did", "n", "s1", "s2").join(least, ["s1", "s2"], "left").select("did", "n", F.coalesce("rep", "did").alias("rep")), "members")
     reps = least.select(F.col("rep").alias("did"), "s1", "s2").join(base, ["did", "s1", "s2"]).dropDuplicates(["did", "s1", "s2"])
-    sketch = stored(reps.select("did", *names), "sketches")
+    sketch = stored(reps.select("did", "n", "bands", *names).dropDuplicates(["did"]), "sketches")
     band = stored(reps.select("did", F.explode("bands").alias("bucket")).distinct(), "bands")
     sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("did").alias("lead")).where("size > 1")
     buckets = stored(band.join(sizes, "bucket"), "buckets")
@@ -208,9 +215,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     def screened(pairs: DataFrame) -> DataFrame:
         p = pairs.where("a < b").distinct()
         for side in "ab":
-            p = p.join(sketch.select(F.col("did").alias(side), *(F.col(n).alias(side + n) for n in names)), side)
+            p = p.join(sketch.select(F.col("did").alias(side), F.col("n").alias(side + "n"), *(F.col(n).alias(side + n) for n in names)), side)
         apart = sum((F.bit_count(F.col("a" + n).bitwiseXOR(F.col("b" + n))) for n in names), F.lit(0))
-        return stored(p.where(apart <= most).select("a", "b"), "pairs")
+        fit = (100 * F.col("an") >= percent * F.col("bn")) & (100 * F.col("bn") >= percent * F.col("an"))
+        return stored(p.where((apart <= most) & fit).select("a", "b"), "pairs")
 
     pairs = screened(small_pairs(buckets.where(F.col("size") <= SMALL).select("bucket", "did"), parts).union(stars))
     large = stored(buckets.where(F.col("size") > SMALL).select("bucket", "did"), "large")
@@ -218,14 +226,14 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = stored(whole.join(used, "did", "left_semi"), "texts")
     links = stored(confirmed(pairs, texts, k, percent), "links")
     groups = components(links)
-    begin, end = 0, 16
+    begin, end = 0, 128
     while True:
         placed = large.join(groups.withColumnRenamed("node", "did"), "did", "left").select("bucket", "did", F.coalesce("component", "did").alias("component"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
         rows = stored(placed.join(mixed, "bucket", "left_semi").join(sketch, "did"), "mixed")
         if rows.isEmpty():
             break
-        found = stored(cross_pairs(rows, parts, begin, end, most), "cross")
+        found = stored(cross_pairs(rows, begin, end, most, percent), "cross")
         new = found.where("not more").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         fresh = stored(confirmed(new, texts, k, percent), "links")
         if not fresh.isEmpty():
@@ -233,7 +241,8 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             groups = components(links)
         if found.where("more").isEmpty():
             break
-        begin, end = end, 3 * end
+        begin, end = end, 16 * end
+        large = rows.select("bucket", "did")  # a bucket within one component stays so
     out = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("did") == F.col("c")).alias("kept"))
