@@ -29,32 +29,50 @@ _rng = np.random.Generator(np.random.PCG64(77))
 FLIP = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 SCALE = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 LONGS = BITS // 64
+#: Sketches of the documents in large mixed buckets, where many pairs lie just below the threshold.
+FINE_SAMPLES, FINE_BITS = 1024, 4096
+FINE_FLIP = _rng.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32)
+FINE_SCALE = _rng.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32) | np.uint32(1)
+SALT = _rng.integers(1, 2**63, FINE_SAMPLES, dtype=np.uint64)
 
 
-def signatures(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
+def signatures(hashes: np.ndarray, off: np.ndarray, flip: np.ndarray = FLIP, scale: np.ndarray = SCALE) -> np.ndarray:
     """MinHash samples, one row a document; empty segments must not occur."""
     low = (hashes >> U(32)).astype(np.uint32)
-    out = np.empty((len(off) - 1, SAMPLES), np.uint32)
-    for i in range(SAMPLES):
-        out[:, i] = np.minimum.reduceat((low ^ FLIP[i]) * SCALE[i], off[:-1])
+    out = np.empty((len(off) - 1, len(flip)), np.uint32)
+    for i in range(len(flip)):
+        out[:, i] = np.minimum.reduceat((low ^ flip[i]) * scale[i], off[:-1])
     return out
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """BITS-bit parity bitmaps as LONGS 64-bit columns."""
+def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity bitmaps of so many bits, as 64-bit columns."""
     n = len(samples)
-    bit = (mix(samples.astype(np.uint64) * MULTIPLIERS[0] + MULTIPLIERS[1 : SAMPLES + 1]) % U(BITS)).astype(np.int64)
-    counts = np.zeros(n * BITS, np.uint8)
-    np.add.at(counts, (bit + np.arange(n)[:, None] * BITS).ravel(), 1)
-    return np.packbits((counts & 1).reshape(n, BITS), axis=1).view(np.uint64).astype(np.int64)
+    bit = (mix(samples.astype(np.uint64) * MULTIPLIERS[0] + SALT[: samples.shape[1]]) % U(bits)).astype(np.int64)
+    counts = np.bincount((bit + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64).astype(np.int64)
 
 
-def farthest(percent: int) -> int:
+def farthest(percent: int, samples: int = SAMPLES, bits: int = BITS) -> int:
     """The largest XOR count that a pair at the threshold reaches but for six standard deviations."""
     j = percent / 100
-    differing = 2 * (SAMPLES * (1 - j) + 6 * (SAMPLES * j * (1 - j)) ** 0.5)
-    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** differing)
-    return int(mean + 6 * (mean * (1 - mean / BITS)) ** 0.5 / 4) + 1
+    differing = 2 * (samples * (1 - j) + 6 * (samples * j * (1 - j)) ** 0.5)
+    mean = bits / 2 * (1 - (1 - 2 / bits) ** differing)
+    return int(mean + 6 * (mean * (1 - mean / bits)) ** 0.5 / 4) + 1
+
+
+def fine_sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(did, fine): sketches of FINE_BITS bits."""
+
+    def run(batches):
+        for batch in slices(batches, "text", CHUNK // 4):
+            h, off = sets(*Words(batch.column("text"), lower=True).shingles(k))
+            some = np.flatnonzero(np.diff(off))
+            if len(some):
+                odd = odd_sketch(signatures(h, np.append(off[:-1][some], off[-1]), FINE_FLIP, FINE_SCALE), FINE_BITS)
+                yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(some)), pa.array([o.tobytes() for o in odd], pa.binary())], names=["did", "fine"])
+
+    return texts.select("did", "text").mapInArrow(run, "did long, fine binary")
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
@@ -124,11 +142,10 @@ def cross_pairs(rows: DataFrame, begin: int, end: int, most: int, percent: int)
 
     Of the buckets that two documents share only that of their first common band compares
     them, and sets too unlike in size for the threshold are no partners; neither loses a link.
-    rows: (bucket, did, component, n, bands, sketch columns). Blocks of members face the bucket's
+    rows: (bucket, did, component, n, bands, fine). Blocks of members face the bucket's
     members, so that memory stays at 16 M distances; 'more' tells that some member
     has partners beyond `end`.
     """
-    names = [f"o{i}" for i in range(LONGS)]
 
     def near(t: pa.Table) -> pa.Table:
         did, comp = np.asarray(t.column("did")), np.asarray(t.column("component"))
@@ -136,7 +153,7 @@ def cross_pairs(rows: DataFrame, begin: int, end: int, most: int, percent: int)
         did, comp, size = did[order], comp[order], np.asarray(t.column("n"))[order]
         bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)[order]
         here = int(np.flatnonzero(bands[0] == t.column("bucket")[0].as_py())[0])
-        odd = np.stack([np.asarray(t.column(n)).view(np.uint64)[order] for n in names])
+        odd = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(len(did), -1)[order].T.copy()
         a, b, more = [], [], False
         if (comp != comp[0]).any():
             block = max(1, min(256, (16 << 20) // len(did)))
@@ -226,14 +243,16 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = stored(whole.join(used, "did", "left_semi"), "texts")
     links = stored(confirmed(pairs, texts, k, percent), "links")
     groups = components(links)
+    fine = stored(fine_sketches(texts.join(large.select("did").distinct(), "did", "left_semi"), k).dropDuplicates(["did"]), "fine")
+    close = farthest(percent, FINE_SAMPLES, FINE_BITS)
     begin, end = 0, 128
     while True:
         placed = large.join(groups.withColumnRenamed("node", "did"), "did", "left").select("bucket", "did", F.coalesce("component", "did").alias("component"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        rows = stored(placed.join(mixed, "bucket", "left_semi").join(sketch, "did"), "mixed")
+        rows = stored(placed.join(mixed, "bucket", "left_semi").join(sketch.select("did", "n", "bands"), "did").join(fine, "did"), "mixed")
         if rows.isEmpty():
             break
-        found = stored(cross_pairs(rows, begin, end, most, percent), "cross")
+        found = stored(cross_pairs(rows, begin, end, close, percent), "cross")
         new = found.where("not more").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
         fresh = stored(confirmed(new, texts, k, percent), "links")
         if not fresh.isEmpty():
