@@ -13,7 +13,8 @@ PARSED = LOGS + r""",
 parsed AS (SELECT line_id, raw, string_split(raw, ' ') AS tokens, array_to_string(string_split(raw, ' ')[6:], ' ') AS message, string_split(raw, ' ')[5] AS service FROM logs),
 words AS (SELECT *, string_split(message, ' ') AS w, len(string_split(message, ' '))::INT AS length FROM parsed)"""
 EVENTS = PARSED + r""",
-ev AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY min(line_id)) - 1)::BIGINT AS event_id, message, length AS message_length, min(line_id) AS first_line, max(line_id) AS last_line, count(*) AS n_members FROM words GROUP BY message, length),
+grouped AS MATERIALIZED (SELECT message, length AS message_length, min(line_id) AS first_line, max(line_id) AS last_line, count(*) AS n_members FROM words GROUP BY message, length),
+ev AS MATERIALIZED (SELECT (SELECT count(*) FROM grouped h WHERE h.first_line < g.first_line)::BIGINT AS event_id, message, message_length, first_line, last_line, n_members FROM grouped g),
 et AS (SELECT *, string_split(message, ' ') AS t FROM ev)"""
 EDGES = EVENTS + r""",
 edges AS (SELECT * FROM (SELECT a.message_length, a.event_id AS src, b.event_id AS dst,
