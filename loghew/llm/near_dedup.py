@@ -5,10 +5,11 @@ an odd sketch (a bitmap in which every sample flips one bit) estimates a pair's
 from the population count of an XOR, and screens out pairs far below the threshold; every
 link is then confirmed on the full shingle sets.
 
-Equal sets collapse to one representative first. Within a bucket no group is expanded into
-all pairs: small buckets are compared whole, in larger ones every member meets the bucket's
-least document, and only while members of a bucket still lie in different components do
-they meet their nearest sketches, twice as many in each round, until no unseen pair is left.
+Equal sets collapse to one representative first. Small buckets are compared whole. The
+larger ones form families: all buckets around one hub, the member that meets most others.
+Every member meets the hub; then the members outside the family's greatest component meet
+all of the family that lies in another component. Both run on full sets, block by block, and
+only links that join two components leave a block, so rows never grow with a group's square.
 """
 
 from __future__ import annotations
@@ -23,56 +24,52 @@ from .kernels import MULTIPLIERS, U, Words, mix, sets, slices
 
 SAMPLES, BANDS, ROWS, BITS = 128, 24, 4, 512
 #: Buckets up to this size are compared whole.
-SMALL = 32
+SMALL = 16
+#: Shingles a block of a family's members, or of the members that ask, holds on average.
+MEMBERS, ASKING = 1 << 21, 1 << 19
 CHUNK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(77))
 FLIP = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 SCALE = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32) | np.uint32(1)
+SALT = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64)
 LONGS = BITS // 64
-#: Sketches of the documents in large mixed buckets, where many pairs lie just below the threshold.
-FINE_SAMPLES, FINE_BITS = 1024, 4096
-FINE_FLIP = _rng.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32)
-FINE_SCALE = _rng.integers(0, 2**32, FINE_SAMPLES, dtype=np.uint32) | np.uint32(1)
-SALT = _rng.integers(1, 2**63, FINE_SAMPLES, dtype=np.uint64)
 
 
-def signatures(hashes: np.ndarray, off: np.ndarray, flip: np.ndarray = FLIP, scale: np.ndarray = SCALE) -> np.ndarray:
+def signatures(hashes: np.ndarray, off: np.ndarray) -> np.ndarray:
     """MinHash samples, one row a document; empty segments must not occur."""
     low = (hashes >> U(32)).astype(np.uint32)
-    out = np.empty((len(off) - 1, len(flip)), np.uint32)
-    for i in range(len(flip)):
-        out[:, i] = np.minimum.reduceat((low ^ flip[i]) * scale[i], off[:-1])
+    out = np.empty((len(off) - 1, SAMPLES), np.uint32)
+    for i in range(SAMPLES):
+        out[:, i] = np.minimum.reduceat((low ^ FLIP[i]) * SCALE[i], off[:-1])
     return out
 
 
-def odd_sketch(samples: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Parity bitmaps of so many bits, as 64-bit columns."""
+def odd_sketch(samples: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of BITS bits, as 64-bit columns."""
     n = len(samples)
-    bit = (mix(samples.astype(np.uint64) * MULTIPLIERS[0] + SALT[: samples.shape[1]]) % U(bits)).astype(np.int64)
-    counts = np.bincount((bit + np.arange(n)[:, None] * bits).ravel(), minlength=n * bits)
-    return np.packbits((counts & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.uint64).astype(np.int64)
+    bit = (mix(samples.astype(np.uint64) * MULTIPLIERS[0] + SALT) % U(BITS)).astype(np.int64)
+    counts = np.bincount((bit + np.arange(n)[:, None] * BITS).ravel(), minlength=n * BITS)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(n, BITS), axis=1).view(np.uint64).astype(np.int64)
 
 
-def farthest(percent: int, samples: int = SAMPLES, bits: int = BITS) -> int:
+def farthest(percent: int) -> int:
     """The largest XOR count that a pair at the threshold reaches but for six standard deviations."""
     j = percent / 100
-    differing = 2 * (samples * (1 - j) + 6 * (samples * j * (1 - j)) ** 0.5)
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** differing)
-    return int(mean + 6 * (mean * (1 - mean / bits)) ** 0.5 / 4) + 1
+    differing = 2 * (SAMPLES * (1 - j) + 6 * (SAMPLES * j * (1 - j)) ** 0.5)
+    mean = BITS / 2 * (1 - (1 - 2 / BITS) ** differing)
+    return int(mean + 6 * (mean * (1 - mean / BITS)) ** 0.5 / 4) + 1
 
 
-def fine_sketches(texts: DataFrame, k: int) -> DataFrame:
-    """(did, fine): sketches of FINE_BITS bits."""
+def full_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(did, n, full): the sorted 64-bit shingle hashes of each text, as bytes."""
 
     def run(batches):
-        for batch in slices(batches, "text", CHUNK // 4):
+        for batch in slices(batches, "text", CHUNK):
             h, off = sets(*Words(batch.column("text"), lower=True).shingles(k))
-            some = np.flatnonzero(np.diff(off))
-            if len(some):
-                odd = odd_sketch(signatures(h, np.append(off[:-1][some], off[-1]), FINE_FLIP, FINE_SCALE), FINE_BITS)
-                yield pa.RecordBatch.from_arrays([batch.column("did").take(pa.array(some)), pa.array([o.tobytes() for o in odd], pa.binary())], names=["did", "fine"])
+            full = pa.LargeBinaryArray.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(h)])
+            yield pa.RecordBatch.from_arrays([batch.column("did"), pa.array(np.diff(off), pa.int64()), full.cast(pa.binary())], names=["did", "n", "full"])
 
-    return texts.select("did", "text").mapInArrow(run, "did long, fine binary")
+    return texts.select("did", "text").mapInArrow(run, "did long, n long, full binary")
 
 
 def describe(docs: DataFrame, k: int) -> DataFrame:
@@ -137,46 +134,49 @@ def small_pairs(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "did").mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(rows: DataFrame, begin: int, end: int, most: int, percent: int) -> DataFrame:
-    """For each member of a bucket, of its partners within `most` in order of distance those at places begin to end that lie in another component.
+def compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between asking members and members of other components, on full sets.
 
-    Of the buckets that two documents share only that of their first common band compares
-    them, and sets too unlike in size for the threshold are no partners; neither loses a link.
-    rows: (bucket, did, component, n, bands, fine). Blocks of members face the bucket's
-    members, so that memory stays at 16 M distances; 'more' tells that some member
-    has partners beyond `end`.
+    rows: (hub, did, component, n, asks, full). A family is dealt into blocks by the number of
+    its shingles; each block of asking members meets each block of members. Within a meeting
+    a link joins two components, and later links between the two are left out.
     """
-
-    def near(t: pa.Table) -> pa.Table:
-        did, comp = np.asarray(t.column("did")), np.asarray(t.column("component"))
-        order = np.argsort(did)
-        did, comp, size = did[order], comp[order], np.asarray(t.column("n"))[order]
-        bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)[order]
-        here = int(np.flatnonzero(bands[0] == t.column("bucket")[0].as_py())[0])
-        odd = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(len(did), -1)[order].T.copy()
-        a, b, more = [], [], False
-        if (comp != comp[0]).any():
-            block = max(1, min(256, (16 << 20) // len(did)))
-            for at in range(0, len(did), block):
-                d = np.zeros((min(block, len(did) - at), len(did)), np.uint16)
-                for o in odd:
-                    d += np.bitwise_count(o[at : at + block, None] ^ o[None, :])
-                for r in range(len(d)):
-                    i = at + r
-                    fit = (100 * size >= percent * size[i]) & (100 * size[i] >= percent * size)
-                    ok = np.flatnonzero((d[r] <= most) & fit)
-                    ok = ok[(bands[ok, :here] != bands[i, :here]).all(axis=1)]
-                    ok = ok[np.argsort(d[r][ok], kind="stable")]
-                    more |= bool((comp[ok[end:]] != comp[at + r]).any())
-                    ok = ok[begin:end]
-                    ok = ok[comp[ok] != comp[at + r]]
-                    a.append(np.minimum(did[at + r], did[ok]))
-                    b.append(np.maximum(did[at + r], did[ok]))
-        last = [np.zeros(int(more), np.int64)]  # a row of zeros carries the mark
-        a, b = np.concatenate([*a, *last]), np.concatenate([*b, *last])
-        return pa.table({"a": a, "b": b, "more": np.arange(len(a)) >= len(a) - int(more)})
-
-    return rows.groupBy("bucket").applyInArrow(near, "a long, b long, more boolean")
+    size = F.sum("n")
+    blocks = rows.groupBy("hub").agg(F.ceil(size / MEMBERS).cast("int").alias("mblocks"), F.ceil(F.coalesce(F.sum(F.when(F.col("asks"), F.col("n"))), F.lit(0)) / ASKING).cast("int").alias("qblocks"))
+    own = F.xxhash64("did")
+    spread = lambda count, block: F.transform(F.sequence(F.lit(0), F.col(count) - 1), block)
+    block = lambda mb, qb, asking: F.struct(mb.cast("int").alias("mb"), qb.cast("int").alias("qb"), F.lit(asking).alias("asking"))
+    as_member = spread("qblocks", lambda i: block(F.pmod(own, F.col("mblocks")), i, False))
+    as_asking = F.when(F.col("asks"), spread("mblocks", lambda i: block(i, F.pmod(own, F.col("qblocks")), True)))
+    dealt = rows.join(blocks.where("qblocks > 0"), "hub")
+    dealt = dealt.withColumn("to", F.explode(F.when(F.col("asks"), F.concat(as_member, as_asking)).otherwise(as_member))).select("hub", "to.*", "did", "component", "n", "full")
+
+    def meet(t: pa.Table) -> pa.Table:
+        asks = np.asarray(t.column("asking").combine_chunks().cast(pa.int8())).astype(bool)
+        t = t.take(pa.array(np.argsort(asks, kind="stable")))  # members first
+        did, n, label = (np.asarray(t.column(c)).astype(np.int64) for c in ("did", "n", "component"))
+        full = np.frombuffer(b"".join(t.column("full").to_pylist()), np.uint64)
+        names, place = np.unique(full, return_inverse=True)
+        off = np.concatenate([[0], np.cumsum(n)])
+        m = int((~asks).sum())
+        held, size, mark = place[: off[m]], n[:m], np.zeros(len(names), np.int32)
+        _, comp = np.unique(label, return_inverse=True)
+        a, b = [], []
+        for q in range(m, len(did)) if m else ():
+            own = place[off[q] : off[q + 1]]
+            mark[own] = 1
+            same = np.add.reduceat(mark[held], off[:m])
+            mark[own] = 0
+            ok = np.flatnonzero((100 * same.astype(np.int64) >= percent * (size + n[q] - same)) & (comp[:m] != comp[q]))
+            if len(ok):
+                other, first = np.unique(comp[ok], return_index=True)
+                a.append(np.full(len(first), did[q]))
+                b.append(did[ok[first]])
+                comp[np.isin(comp, other)] = comp[q]
+        x, y = (np.concatenate([*v, np.zeros(0, np.int64)]) for v in (a, b))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return dealt.groupBy("hub", "mb", "qb").applyInArrow(meet, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -224,9 +224,12 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = least.select(F.col("rep").alias("did"), "s1", "s2").join(base, ["did", "s1", "s2"]).dropDuplicates(["did", "s1", "s2"])
     sketch = stored(reps.select("did", "n", "bands", *names).dropDuplicates(["did"]), "sketches")
     band = stored(reps.select("did", F.explode("bands").alias("bucket")).distinct(), "bands")
-    sizes = band.groupBy("bucket").agg(F.count("*").alias("size"), F.min("did").alias("lead")).where("size > 1")
+    sizes = band.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     buckets = stored(band.join(sizes, "bucket"), "buckets")
-    stars = buckets.where((F.col("size") > SMALL) & (F.col("did") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("did").alias("b"))
+    large = buckets.where(F.col("size") > SMALL)
+    met = large.join(large.groupBy("did").agg(F.sum("size").alias("met")), "did")
+    hubs = met.groupBy("bucket").agg(F.max_by("did", F.struct("met", "did")).alias("hub"))
+    family = stored(large.join(hubs, "bucket").select("hub", "did").distinct(), "families")
     most = farthest(percent)
 
     def screened(pairs: DataFrame) -> DataFrame:
@@ -237,31 +240,21 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         fit = (100 * F.col("an") >= percent * F.col("bn")) & (100 * F.col("bn") >= percent * F.col("an"))
         return stored(p.where((apart <= most) & fit).select("a", "b"), "pairs")
 
-    pairs = screened(small_pairs(buckets.where(F.col("size") <= SMALL).select("bucket", "did"), parts).union(stars))
-    large = stored(buckets.where(F.col("size") > SMALL).select("bucket", "did"), "large")
-    used = pairs.select(F.col("a").alias("did")).union(pairs.select("b")).union(large.select("did")).distinct()
-    texts = stored(whole.join(used, "did", "left_semi"), "texts")
-    links = stored(confirmed(pairs, texts, k, percent), "links")
+    pairs = screened(small_pairs(buckets.where(F.col("size") <= SMALL).select("bucket", "did"), parts))
+    used = pairs.select(F.col("a").alias("did")).union(pairs.select("b")).distinct()
+    links = stored(confirmed(pairs, stored(whole.join(used, "did", "left_semi"), "texts"), k, percent), "links")
+    full = stored(full_sets(whole.join(family.select("did").distinct(), "did", "left_semi"), k).withColumn("same", F.xxhash64("full")).dropDuplicates(["did", "same"]).drop("same"), "full")
+    stars = family.select("hub", "did", F.col("did").alias("component"), (F.col("did") == F.col("hub")).alias("asks")).join(full, "did")
+    links = links.union(stored(compared(stars, percent), "links"))
     groups = components(links)
-    fine = stored(fine_sketches(texts.join(large.select("did").distinct(), "did", "left_semi"), k).dropDuplicates(["did"]), "fine")
-    close = farthest(percent, FINE_SAMPLES, FINE_BITS)
-    begin, end = 0, 128
-    while True:
-        placed = large.join(groups.withColumnRenamed("node", "did"), "did", "left").select("bucket", "did", F.coalesce("component", "did").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        rows = stored(placed.join(mixed, "bucket", "left_semi").join(sketch.select("did", "n", "bands"), "did").join(fine, "did"), "mixed")
-        if rows.isEmpty():
-            break
-        found = stored(cross_pairs(rows, begin, end, close, percent), "cross")
-        new = found.where("not more").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        fresh = stored(confirmed(new, texts, k, percent), "links")
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            groups = components(links)
-        if found.where("more").isEmpty():
-            break
-        begin, end = end, 16 * end
-        large = rows.select("bucket", "did")  # a bucket within one component stays so
+    placed = family.join(groups.withColumnRenamed("node", "did"), "did", "left").select("hub", "did", F.coalesce("component", "did").alias("component"))
+    placed = stored(placed, "placed")
+    shares = placed.groupBy("hub", "component").agg(F.count("*").alias("held"))
+    mixed = shares.groupBy("hub").agg(F.max_by("component", F.struct("held", "component")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = placed.join(mixed, "hub").withColumn("asks", F.col("component") != F.col("major")).join(full, "did")
+    fresh = stored(compared(rows, percent), "links")
+    if not fresh.isEmpty():
+        groups = components(links.union(fresh))
     out = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("did") == F.col("c")).alias("kept"))
