@@ -241,9 +241,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return stored(p.where((apart <= most) & fit).select("a", "b"), "pairs")
 
     pairs = screened(small_pairs(buckets.where(F.col("size") <= SMALL).select("bucket", "did"), parts))
-    used = pairs.select(F.col("a").alias("did")).union(pairs.select("b")).distinct()
-    links = stored(confirmed(pairs, stored(whole.join(used, "did", "left_semi"), "texts"), k, percent), "links")
-    full = stored(full_sets(whole.join(family.select("did").distinct(), "did", "left_semi"), k).withColumn("same", F.xxhash64("full")).dropDuplicates(["did", "same"]).drop("same"), "full")
+    used = pairs.select(F.col("a").alias("did"), F.lit(False).alias("large")).union(pairs.select("b", F.lit(False))).union(family.select("did", F.lit(True)))
+    used = used.groupBy("did").agg(F.max("large").alias("large"), F.min("large").alias("only")).select("did", "large", (~F.col("only")).alias("paired"))
+    # one shuffle of the texts, planned alike at every size
+    texts = stored(whole.hint("merge").join(used, "did"), "texts")
+    links = stored(confirmed(pairs, texts.where("paired").select("did", "text"), k, percent), "links")
+    full = full_sets(texts.where("large"), k).withColumn("same", F.xxhash64("full")).dropDuplicates(["did", "same"]).drop("same")
+    full = stored(full, "full")
     stars = family.select("hub", "did", F.col("did").alias("component"), (F.col("did") == F.col("hub")).alias("asks")).join(full, "did")
     links = links.union(stored(compared(stars, percent), "links"))
     groups = components(links)
