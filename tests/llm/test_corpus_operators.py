@@ -79,6 +79,9 @@ def jaccard_groups(rows, k, percent):
 @pytest.mark.parametrize("small", [2, 32])
 def test_near_groups(spark, monkeypatch, small):
     monkeypatch.setattr("loghew.llm.near_dedup.SMALL", small)
+    if small < 16:  # many blocks a family
+        monkeypatch.setattr("loghew.llm.near_dedup.MEMBERS", 64)
+        monkeypatch.setattr("loghew.llm.near_dedup.ASKING", 16)
     rnd, rows = random.Random(small), []
     for family in range(6):
         base = [f"f{family}w{i}" for i in range(120)]
