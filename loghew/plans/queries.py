@@ -111,8 +111,8 @@ def ground_truth_templates(spark, d):
 
 @query
 def gt_id_remap(spark, d):
-    t = truth(spark, d).where("gt_id % 3 <> 1")
-    return GT.remap(truth(spark, d).select(F.col("gt_id").alias("abstraction_id"), F.col("template").alias("abstraction")), t.withColumn("gt_id", F.row_number().over(E.W.orderBy("gt_id")) - 1).select("gt_id", "template"))
+    t = truth(spark, d).select("gt_id", "template")
+    return GT.remap(t.select(F.col("gt_id").alias("abstraction_id"), F.col("template").alias("abstraction")), t)
 
 
 @query
@@ -130,9 +130,11 @@ def weighted_hamming_edges(spark, d):
 
 @query
 def hamming_expression(spark, d):
-    ev = events(spark, d).where("event_id < 40").select("event_id", "message_length", F.split("message", " ").alias("t"))
-    b = ev.select(F.col("event_id").alias("dst"), "message_length", F.col("t").alias("u"))
-    return ev.join(b, "message_length").where("event_id < dst").select("message_length", F.col("event_id").alias("src"), "dst", X.weighted_hamming(F.col("t"), F.col("u")).alias("weight")).where("weight > 0")
+    ev = events(spark, d).select("event_id", "message_length", F.split("message", " ").alias("t"))
+    at = ev.select("message_length", F.col("event_id").alias("src"), F.posexplode("t").alias("pos", "tok"))
+    pairs = at.join(at.withColumnRenamed("src", "dst"), ["message_length", "pos", "tok"]).where("src < dst").select("message_length", "src", "dst").distinct()
+    a, b = ev.select(F.col("event_id").alias("src"), "t"), ev.select(F.col("event_id").alias("dst"), F.col("t").alias("u"))
+    return pairs.join(a, "src").join(b, "dst").select("message_length", "src", "dst", X.weighted_hamming(F.col("t"), F.col("u")).alias("weight")).where("weight > 0")
 
 
 @query
@@ -188,7 +190,7 @@ def over_abstraction(spark, d):
 
 @query
 def merge_test(spark, d):
-    ev = events(spark, d).where("event_id < 60").select("event_id", "message_length", F.split("message", " ").alias("t"))
+    ev = events(spark, d).select("event_id", "message_length", F.split("message", " ").alias("t"))
     b = ev.select(F.col("event_id").alias("other"), "message_length", F.col("t").alias("u"))
     return ev.join(b, "message_length").where("event_id < other").select("event_id", "other", X.mergeable(F.col("t"), F.col("u")).alias("mergeable"), joined(X.pair_template(F.col("t"), F.col("u"))).alias("template"))
 
