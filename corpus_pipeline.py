@@ -37,11 +37,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking values go out of the texts; documents stay. n_chars follows the text."""
-    found = find_secrets(docs).where("n_live > 0").select(F.col("doc_id").alias("d")).distinct()
-    found = stored(found, "live")
-    marked = docs.join(found.withColumn("live", F.lit(True)), F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return redact(marked, F.col("live")).withColumn("n_chars", F.when(F.col("live"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Live-looking values of all kinds go out of the texts; copied ones and documents stay. n_chars follows the text."""
+    key = F.xxhash64("text")  # rows equal in id and text have the same places
+    found = find_secrets(docs.withColumn("th", key), keep=("th",)).where("n_live > 0")
+    found = stored(found.select(F.col("doc_id").alias("d"), "th", "found").dropDuplicates(["d", "th"]), "live")
+    marked = docs.withColumn("key", key).join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("th")), "left")
+    live = F.col("found").isNotNull()
+    return redact(marked, F.col("found")).withColumn("n_chars", F.when(live, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,10 +49,11 @@ def written(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_from: int = 3) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_from: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (array with value, owners, repositories, live), n_live, n_copied.
 
-    A value is live-looking when fewer than `copied_from` distinct owners hold it.
+    A value is live-looking when fewer than `copied_from` distinct owners hold it. The
+    columns named in `keep` are returned besides.
 
     Edge cases: a null text is empty; a null owner or repository counts as one of its own;
     a null doc_id stays null; repeated rows are scanned each; an empty table gives no rows;
@@ -62,13 +63,13 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     text = F.coalesce(F.col("text"), F.lit(""))
     kinds = BASE | GENERIC
     each = {k: spans(F.col("t"), k, i, *kinds[k]) for i, k in enumerate(kinds)}
-    rows = docs.select("doc_id", F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("o"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("r"), text.alias("t"))
-    rows = rows.select("doc_id", "o", "r", *(c.alias(k) for k, c in each.items()))
+    rows = docs.select("doc_id", *keep, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("o"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("r"), text.alias("t"))
+    rows = rows.select("doc_id", *keep, "o", "r", *(c.alias(k) for k, c in each.items()))
     base = F.array_sort(F.concat(*BASE))
     mixed = F.filter("owned", lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]"))
-    rows = rows.select("doc_id", "o", "r", base.alias("base"), mixed.alias("owned"))
+    rows = rows.select("doc_id", *keep, "o", "r", base.alias("base"), mixed.alias("owned"))
     apart = F.filter("owned", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    rows = rows.select("doc_id", "o", "r", "base", apart.alias("owned"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", *keep, "o", "r", "base", apart.alias("owned"), F.monotonically_increasing_id().alias("row"))
     rows = stored(rows, "spans")
     one = rows.where(F.size("base") + F.size("owned") > 0).select("row", "o", "r", F.explode(F.concat("base", "owned")).alias("x"))
     one = one.withColumn("h", F.xxhash64("x.value"))
@@ -81,15 +82,22 @@ def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_
     out = rows.join(known, "row", "left")
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     alive = F.coalesce(F.size(F.filter("found", lambda x: x["live"])), F.lit(0)).cast("long")
-    return out.select("doc_id", *(n(k) for k in BASE), F.sha2(written(F.col("base")), 256).alias("base_sha256"), F.coalesce(written(F.col("found")), F.lit("")).alias("spans"), alive.alias("n_live"), (F.coalesce(F.size("found"), F.lit(0)) - alive).cast("long").alias("n_copied"), "found")
+    return out.select("doc_id", *keep, *(n(k) for k in BASE), F.sha2(written(F.col("base")), 256).alias("base_sha256"), F.coalesce(written(F.col("found")), F.lit("")).alias("spans"), alive.alias("n_live"), (F.coalesce(F.size("found"), F.lit(0)) - alive).cast("long").alias("n_copied"), "found")
 
 
-def redact(docs: DataFrame, where: Column, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the values of base matches replaced by a mark in the rows that `where` holds; other columns and texts stay."""
+def redact(docs: DataFrame, found: Column, mark: str = "[SECRET]") -> DataFrame:
+    """docs with the live values of `found` (see find_secrets) replaced by a mark, by their places; null: the text stays.
+
+    A span ends with its value, so the name before an assigned value stays. Values that
+    overlap become one mark; copied values and other columns stay.
+    """
     text = F.col("text")
-    pattern, _, least = BASE["assign"]
-    head, _, _ = pattern.rpartition("([")
-    out = F.regexp_replace(text, f"({head})([A-Za-z0-9+/_.=-]{{{least},}})", f"$1{mark.replace('$', '')}")
-    out = F.regexp_replace(out, r"AKIA[A-Z0-9]{16,}", mark)
-    out = F.regexp_replace(out, BASE["hex"][0], mark)
-    return docs.withColumn("text", F.when(where, out).otherwise(text))
+    places = F.transform(F.filter(found, lambda x: x["live"]), lambda x: F.struct((x["end"] - F.length(x["value"])).alias("a"), x["end"].alias("b")))
+
+    def step(acc: Column, x: Column) -> Column:
+        before = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["a"] - acc["at"]), F.lit(mark)))
+        return F.struct(F.greatest(acc["at"], x["b"]).alias("at"), F.when((x["a"] >= acc["at"]), before).otherwise(acc["out"]).alias("out"))
+
+    rest = lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))), "")
+    out = F.aggregate(F.array_sort(places), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out")), step, rest)
+    return docs.withColumn("text", F.when(found.isNotNull(), out).otherwise(text))

@@ -231,3 +231,19 @@ def test_pipeline_stages(spark):
     assert ids("language") == {r[0] for r in rows} - {91, 92} and ids("near_duplicates") == ids("language") - {90}
     assert ids("secrets") == ids("near_duplicates") and "hunter2" not in next(r.text for r in left["secrets"] if r.doc_id == 93)
     assert sum(r.length for r in left["packing"]) == sum(r.doc_tokens for r in left["packing"] if r.start == 0)
+
+
+def test_pipeline_redacts_live_values_only(spark):
+    own, more = "Ab3" + "xY7" * 8, "Qr5" + "zT2" * 8
+    rows = [
+        (1, f"é 🙂 key {own} end", "en", "a"), (2, f"token=sharedvalue and password='hunter2hunter2' key {more}.", "en", "a"), (None, "x token=sharedvalue", "en", "b"),
+        (None, f"y {own}", "en", "c"), (3, "token=sharedvalue", "en", "c"), (4, "secret: " + "0f" * 14 + "Z! AKIA" + "A1" * 9, "en", "a"), (5, None, "en", "a"),
+    ]
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = corpus_pipeline.secrets(spark, docs, "").collect()
+    want = [
+        (1, "é 🙂 key [SECRET] end"), (2, "token=sharedvalue and password='[SECRET]' key [SECRET]."), (None, "x token=sharedvalue"),
+        (None, "y [SECRET]"), (3, "token=sharedvalue"), (4, "secret: [SECRET]! [SECRET]"), (5, None),
+    ]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.n_chars == (len(r.text) if "[SECRET]" in (r.text or "") else None) for r in got)
