@@ -90,8 +90,9 @@ def normalized_word(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{Nd}+$"), F.lit("$NUM$")).otherwise(F.lower(word))
 
 
-def padded(items: Column, size: int, fill) -> Column:
-    return F.concat(F.slice(items, 1, size), F.array_repeat(F.lit(fill), F.greatest(F.lit(size) - F.size(items), F.lit(0))))
+def padded(items: Column, size: Column | int, fill) -> Column:
+    """items, filled up to size; longer ones stay whole."""
+    return F.concat(items, F.array_repeat(F.lit(fill), F.greatest(F.lit(size) - F.size(items), F.lit(0))))
 
 
 def removed_patterns(raw: Column, patterns: list[tuple[str, str]]) -> Column:

@@ -47,5 +47,8 @@ def word_ids(sentences: DataFrame, vocab: DataFrame, unknown: str = "$UNK$") ->
     return got.groupBy("sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
-def padded_ids(rows: DataFrame, size: int, fill: int = 0) -> DataFrame:
-    return rows.select("sent_id", padded(F.col("ids"), size, fill).alias("ids"), F.least(F.size("ids"), F.lit(size)).alias("length"))
+def padded_ids(rows: DataFrame, fill: int = 0) -> DataFrame:
+    """sent_id, ids, length: ids filled up to the greatest length of all rows; length is the row's own."""
+    most = rows.agg(F.max(F.size("ids")).alias("most"))
+    got = rows.crossJoin(F.broadcast(most))  # one row
+    return got.select("sent_id", padded(F.col("ids"), F.col("most"), fill).alias("ids"), F.size("ids").alias("length"))

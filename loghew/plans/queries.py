@@ -300,8 +300,8 @@ def conll_sentences(spark, d):
 @query
 def word_ids(spark, d):
     t = tagged(spark, d)
-    vocab = N.vocabulary(t.where("sent_id % 2 = 0").select(F.transform("words", X.normalized_word).alias("w")).union(spark.createDataFrame([(["$UNK$"],)], T.StructType([T.StructField("w", T.ArrayType(T.StringType()))]))), "w")
-    got = N.padded_ids(N.word_ids(t, vocab), 10)
+    vocab = N.vocabulary(t.select(F.transform("words", X.normalized_word).alias("w")).union(spark.createDataFrame([(["$UNK$"],)], T.StructType([T.StructField("w", T.ArrayType(T.StringType()))]))), "w")
+    got = N.padded_ids(N.word_ids(t, vocab))
     return got.select("sent_id", "length", joined(F.transform("ids", lambda x: x.cast("string"))).alias("ids"))
 
 

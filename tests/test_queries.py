@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from loghew.plans.queries import QUERIES, events, truth
+from loghew.plans.queries import QUERIES, events, tagged, truth
 
 TYPES = ["signup", "purchase", "error", "view", "click"]
 
@@ -51,3 +51,13 @@ def test_gt_id_remap_knows_all_truth(spark, logs):
         own[r.template].append(r.gt_id)
     got = {r.abstraction_id: r.new_id for r in QUERIES["gt_id_remap"](spark, logs).collect()}
     assert got == {i: max(ids) for ids in own.values() for i in ids}
+
+
+def test_word_ids_keep_every_word(spark, logs):
+    own = {r.sent_id: ["$NUM$" if w.isdigit() else w.lower() for w in r.words] for r in tagged(spark, logs).collect()}
+    most, vocab = max(map(len, own.values())), sorted({"$UNK$", *(w for words in own.values() for w in words)})
+    got = {r.sent_id: r for r in QUERIES["word_ids"](spark, logs).collect()}
+    assert got.keys() == own.keys() and {len(w) for w in own.values()} == {8, 11, 12}
+    for i, words in own.items():
+        ids = [vocab.index(w) for w in words]
+        assert got[i].length == len(words) and got[i].ids == "|".join(map(str, ids + [0] * (most - len(ids))))
