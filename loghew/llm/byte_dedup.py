@@ -65,7 +65,8 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 32, held: int =
             cols.append(x)
             size = x["nw"].astype(np.int64) + length - 1
             ended = np.zeros(int(size.sum()) + len(size), np.uint8)
-            ended[segments(np.cumsum(size + 1) - size - 1, size)] = np.frombuffer(load, np.uint8, int(size.sum()), len(load) - int(size.sum()))
+            own = np.frombuffer(load, np.uint8, int(size.sum()), len(load) - int(size.sum()))
+            ended[segments(np.cumsum(size + 1) - size - 1, size)] = own + np.uint8(1)  # 0 is the end mark, so U+0000 becomes 1; UTF-8 has no byte 254 or 255
             strings.append(ended)
         x = {k: np.concatenate([c[k] for c in cols]) for k in STRING}
         del cols

@@ -80,3 +80,14 @@ def test_suffix_array(held):
         for k in range(1, len(want)):
             a, b = suffix[want[k - 1]][0], suffix[want[k]][0]
             assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b), 20)) or lcp[k] == 20
+
+
+def test_bytes_with_nul_against_brute_force(spark):
+    rnd = random.Random(9)
+    letters = "abcdefgh "
+    passage = "".join(rnd.choices(letters, k=60)) + "\0" + "".join(rnd.choices(letters, k=50)) + "\0\0"
+    rows = [(i, "".join(rnd.choices(letters, k=40)) + passage[rnd.randint(0, 9):] + "".join(rnd.choices(letters, k=40))) for i in range(25)]
+    rows += [(50, passage), (51, "\0" * 300), (52, "\0" * 301 + "x"), (53, "\0")]
+    got = {r.doc_id: r for r in dedup_bytes(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()}
+    for d, (u, kept, spans) in brute(rows, lambda t: t.encode(), 100).items():
+        assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(u), len(u) - len(kept), spans, hashlib.sha256(bytes(kept)).hexdigest())
