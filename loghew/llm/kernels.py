@@ -138,17 +138,25 @@ def sets(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[new], kept[off] if n else np.zeros(1, np.int64)
 
 
+#: Low bits of a value that hold its place in window_argmin.
+PLACE = 24
+
+
 def window_argmin(grams: np.ndarray, width: int) -> np.ndarray:
     """For each i, the place of the least value among grams[i : i + width]; the leftmost of equals.
 
-    The upper 40 bits of a value order it; at most 2**24 values a call.
+    The bits of a value above the lowest PLACE order it. More than 2**PLACE values go in
+    blocks that overlap by width - 1.
     """
-    n = len(grams)
-    m = (grams & U(0xFFFFFFFFFF000000)) | np.arange(n, dtype=np.uint64)
+    n, most = len(grams), 1 << PLACE
+    if n > most:
+        return np.concatenate([window_argmin(grams[a : a + most], width) + a for a in range(0, n - width + 1, most - width + 1)])
+    low = U(most - 1)
+    m = (grams & ~low) | np.arange(n, dtype=np.uint64)
     span = 1
     while span * 2 <= width:
         m = np.minimum(m[: len(m) - span], m[span:])
         span *= 2
     if span < width:
         m = np.minimum(m[: len(m) - (width - span)], m[width - span :])
-    return (m & U(0xFFFFFF)).astype(np.int64)
+    return (m & low).astype(np.int64)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from loghew.llm.byte_dedup import dedup_bytes
+from loghew.llm import kernels
 from loghew.llm.induced import suffix_array
 from loghew.llm.substring_dedup import dedup_words
 
@@ -91,3 +92,20 @@ def test_bytes_with_nul_against_brute_force(spark):
     got = {r.doc_id: r for r in dedup_bytes(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)).collect()}
     for d, (u, kept, spans) in brute(rows, lambda t: t.encode(), 100).items():
         assert (got[d].n_bytes, got[d].n_removed, got[d].n_spans, got[d].kept_sha256) == (len(u), len(u) - len(kept), spans, hashlib.sha256(bytes(kept)).hexdigest())
+
+
+@pytest.mark.parametrize("n", [64, 65, 127, 500, 640])
+def test_window_argmin_beyond_its_places(monkeypatch, n):
+    monkeypatch.setattr(kernels, "PLACE", 6)
+    grams = np.random.Generator(np.random.PCG64(n)).integers(0, 40, n, dtype=np.uint64) << np.uint64(6)  # many equals
+    for width in (1, 2, 9, 13):
+        got = kernels.window_argmin(grams, width)
+        assert got.tolist() == [i + int(np.argmin(grams[i : i + width])) for i in range(n - width + 1)]
+
+
+def test_window_argmin_of_a_long_text():
+    grams = np.random.Generator(np.random.PCG64(3)).integers(0, 2**63, (1 << 24) + 300, dtype=np.uint64)
+    got = kernels.window_argmin(grams, 69)
+    assert len(got) == len(grams) - 68 and got[-1] >= len(grams) - 69
+    at = np.arange(len(got) - 400, len(got))
+    assert got[at].tolist() == [i + int(np.argmin(grams[i : i + 69] >> np.uint64(24))) for i in at.tolist()]
