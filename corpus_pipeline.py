@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loghew.llm.common import stored
+from loghew.llm.common import stored, unique_ids
 from loghew.llm.language import UNKNOWN, fit, predict
 from loghew.llm.mixing import mix_sources
-from loghew.llm.near_dedup import near_groups
+from loghew.llm.near_dedup import near_nodes
 from loghew.llm.packing import pack
 from loghew.llm.queries import tokenizer
 from loghew.llm.secrets import find_secrets, redact
@@ -27,13 +27,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the least doc_id's (of rows that share it, one)."""
-    kept = near_groups(docs).where("kept").select(F.col("doc_id").alias("k")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("k")), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return out
-    n = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return out.withColumn("n", n).where("n = 1").drop("n")
+    """One document of each near-duplicate group stays: the least doc_id's (of texts that share it, one). Unlike texts stay, whatever their ids."""
+    unique = unique_ids(docs)
+    kept = near_nodes(docs, unique).where("kept").select(F.col("doc_id").alias("k"), F.col("th").alias("t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("k"))
+    if unique:
+        return docs.join(kept, same, "left_semi")
+    out = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, same & (F.col("th") == F.col("t")), "left_semi")
+    n = F.row_number().over(W.partitionBy("doc_id", "th").orderBy("source", "lang"))
+    return out.withColumn("n", n).where("n = 1").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,6 +59,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("did"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
+def unique_ids(docs: DataFrame) -> bool:
+    """No two rows share a doc_id (null counts as one)."""
+    return docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable over edges (a, b), by hash-to-min with shortcuts.
 

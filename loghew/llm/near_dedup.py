@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, components, keyed, shards, small_batches, stored
+from .common import NULL_ID, components, keyed, shards, small_batches, stored, unique_ids
 from .kernels import MULTIPLIERS, U, Words, mix, sets, slices
 
 SAMPLES, BANDS, ROWS, BITS = 128, 24, 4, 512
@@ -210,13 +210,23 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reachable. Linked pairs are missed only if no band meets (at 85 % about 2 in 10**8).
 
     Edge cases: null and wordless texts have an empty set and stay alone; a null doc_id
-    counts as the least and stays null; rows that share a doc_id are one node; an empty
-    table gives no rows; further columns are ignored; long texts are taken whole.
+    counts as the least and stays null; rows equal in doc_id and text are one node, and rows
+    that share only the doc_id are apart, ordered by a hash of the text; an empty table gives
+    no rows; further columns are ignored; long texts are taken whole.
     """
+    return near_nodes(docs, unique_ids(docs), k, percent).drop("th")
+
+
+def near_nodes(docs: DataFrame, unique: bool, k: int = 5, percent: int = 80) -> DataFrame:
+    """near_groups with th, the hash of the text that tells rows of one doc_id apart; null where doc_ids are unique."""
     spark = docs.sparkSession
     small_batches(spark)
     parts = shards(docs, 16)
-    whole = keyed(docs).select("did", "text")
+    whole = keyed(docs)
+    if not unique:  # inside, did is a number of (did, th)
+        nodes = stored(whole.select("did", "th").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+        whole = whole.join(nodes, ["did", "th"]).select(F.col("node").alias("did"), "text")
+    whole = whole.select("did", "text")
     base = stored(describe(whole, k), "sets")
     names = [f"o{i}" for i in range(LONGS)]
     least = base.where("n > 0").groupBy("s1", "s2").agg(F.min("did").alias("rep"))
@@ -261,4 +271,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         groups = components(links.union(fresh))
     out = member.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(real("did").alias("doc_id"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("did") == F.col("c")).alias("kept"))
+    if unique:
+        return out.select(real("did").alias("doc_id"), F.lit(None).cast("long").alias("th"), F.col("n").alias("n_shingles"), real("c").alias("component_id"), (F.col("did") == F.col("c")).alias("kept"))
+    own = out.select(F.col("did").alias("node"), "n", "c").join(nodes, "node")
+    first = own.groupBy("c").agg(F.min(F.struct("did", "th")).alias("first"))
+    out = own.join(first, "c").withColumn("cid", F.col("first.did"))
+    return out.select(real("did").alias("doc_id"), "th", F.col("n").alias("n_shingles"), real("cid").alias("component_id"), (F.struct("did", "th") == F.col("first")).alias("kept"))

@@ -247,3 +247,14 @@ def test_pipeline_redacts_live_values_only(spark):
     ]
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
     assert all(r.n_chars == (len(r.text) if "[SECRET]" in (r.text or "") else None) for r in got)
+
+
+def test_pipeline_near_duplicates_of_shared_ids(spark):
+    a, b, c, d, e = (prose(i, 90) for i in range(50, 55))
+    rows = [(7, a, "en", "a"), (7, b, "en", "a"), (9, a + " x", "en", "b"), (10, b, "en", "c"), (None, c, "en", "a"), (None, d, "en", "b"), (None, d, "en", "c"), (11, d + " y", "en", "a"), (12, e, "en", "a"), (12, e, "en", "a")]
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(7, a), (7, b), (None, c), (None, d), (12, e)], key=str)
+    groups = near_groups(docs).collect()
+    assert len(groups) == len(rows) and {r.doc_id: (r.component_id, r.kept) for r in groups if r.doc_id in (9, 10, 11)} == {9: (7, False), 10: (7, False), 11: (None, False)}
