@@ -61,6 +61,7 @@ class Block:
     links: int
     away: bool
     inside: int  # number of the article-like container, 0: none
+    main: bool  # that container is an article or main element, not only named like one
     heading: bool
     label: str = ""
 
@@ -70,6 +71,7 @@ class Frame:
     tag: str
     away: bool
     inside: int
+    main: bool = False
     pre: dict = field(default_factory=dict)
 
 
@@ -85,7 +87,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links, heading, breaks
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, stack[-1].away, stack[-1].inside, heading))
+            out.append(Block(text, links, stack[-1].away, stack[-1].inside, stack[-1].main, heading))
         parts.clear()
         links, heading, breaks = 0, False, 0
 
@@ -123,7 +125,7 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE and tag not in ("span", "label"):
             continue
         if tag in ("span", "label") and not closing and not (attributes and BAD_WORDS.search(" ".join(a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes) if a[0].lower() in ("class", "id", "role")))):
-            stack.append(Frame(tag, stack[-1].away, stack[-1].inside))
+            stack.append(Frame(tag, stack[-1].away, stack[-1].inside, stack[-1].main))
             continue
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
@@ -150,11 +152,11 @@ def blocks(page: str) -> list[Block]:
         hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes) is not None
         good = tag in MAIN or bool(names and GOOD_WORDS.search(names))
         bad = tag in AWAY or hidden or (tag == "header" and not up.inside) or (tag not in ("body", "html", "article", "main") and bool(names) and bool(BAD_WORDS.search(names)))
-        inside = up.inside
+        inside, main = up.inside, up.main
         if good and not bad and (tag in MAIN or not inside):
             containers += 1
-            inside = containers
-        stack.append(Frame(tag, up.away or bad, inside))
+            inside, main = containers, tag in MAIN
+        stack.append(Frame(tag, up.away or bad, inside, main))
         if len(stack) > 2000:  # broken nesting
             del stack[1000:]
     close()
@@ -162,8 +164,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def classify(found: list[Block], rules: Rules) -> None:
-    """Sets each block's label to good or bad."""
-    framed = any(b.inside and not b.away for b in found)
+    """Sets each block's label to good or bad.
+
+    Only an article or main element frames a page: other blocks are then bad. A container
+    that is merely named like one speaks for its own blocks and leaves the others to the rules.
+    """
+    framed = any(b.main and not b.away for b in found)
     for b in found:
         words = WORD.findall(b.text.lower())
         stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
@@ -183,13 +189,15 @@ def classify(found: list[Block], rules: Rules) -> None:
     before, after = [("", 0)] * n, [("", 0)] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
         last, group, far = "", 0, 0
+        seen, off = "", 0
         for i in order:
             if found[i].inside != group:
-                last, group = "", found[i].inside  # labels don't cross an article's edge
-            far += 1
+                last, group = "", found[i].inside  # labels don't come into an article from outside
+            far, off = far + 1, off + 1
             if decided[i]:
                 last, far = decided[i], 0
-            side[i] = (last, far)
+                seen, off = decided[i], 0
+            side[i] = (last, far) if group else (seen, off)
     for i, b in enumerate(found):
         if b.label in ("short", "near"):
             near = {x for x, _ in (before[i], after[i]) if x}

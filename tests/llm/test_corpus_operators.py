@@ -258,3 +258,12 @@ def test_pipeline_near_duplicates_of_shared_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(7, a), (7, b), (None, c), (None, d), (12, e)], key=str)
     groups = near_groups(docs).collect()
     assert len(groups) == len(rows) and {r.doc_id: (r.component_id, r.kept) for r in groups if r.doc_id in (9, 10, 11)} == {9: (7, False), 10: (7, False), 11: (None, False)}
+
+
+def test_html_names_are_hints():
+    story = [" ".join(f"the tale of w{i}{j} and" for j in range(12)) for i in range(3)]
+    whole = "\n\n".join(["T", *story])
+    assert main_text(f"<div><h1 class='post-title'>T</h1>{''.join(f'<p>{s}</p>' for s in story)}</div>") == whole
+    assert main_text(f"<div><h1>T</h1><p>{story[0]}</p><p class='text-muted'>{story[1]}</p><p>{story[2]}</p></div>") == whole
+    assert main_text(f"<p class='text-a'>{story[0]}</p><p>Short.</p><p class='text-b'>{story[1]}</p>") == f"{story[0]}\n\nShort.\n\n{story[1]}"
+    assert main_text(f"<div>{story[0]}</div><article><h1>T</h1><p>{story[1]}</p></article>") == f"T\n\n{story[1]}"
