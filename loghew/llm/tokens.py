@@ -3,8 +3,8 @@
 The texts of a batch are cut into pre-tokens by array operations on code points (the
 splitting rule of byte-level BPE: contractions, words, numbers, other signs, each with one
 space before it, and runs of white space); every distinct pre-token is encoded once by the
-`tokenizers` library and its ids are gathered for all places. Ids equal those of encoding
-each whole text.
+`tokenizers` library and its ids are gathered for all places. The tokenizer's added tokens are
+cut out first and keep their own ids. Ids equal those of encoding each whole text.
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
         self.most = most
         self.forget()
 
@@ -99,12 +100,22 @@ class Encoder:
         self.used += len(new)
         self.known.update(zip(hashes, range(at, at + len(got))))
 
+    def added_places(self, text: str, off: np.ndarray) -> np.ndarray:
+        """(start, end) of the added tokens in each document."""
+        if self.added is None or not self.added.search(text):
+            return np.zeros((0, 2), np.int64)
+        spans = [m.span() for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for m in self.added.finditer(text, a, b)]
+        return np.array(spans, np.int64).reshape(-1, 2)
+
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw, off = buffers(column)
         text = raw.tobytes().decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         off = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[off]
-        start = pre_tokens(points, off)
+        places = self.added_places(text, off)
+        start = pre_tokens(points, np.sort(np.concatenate([off, places.ravel()])))
+        if len(places):  # an added token is one pre-token
+            start = start[np.searchsorted(places[:, 0], start, "left") <= np.searchsorted(places[:, 1], start, "right")]
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         end = np.append(start[1:], len(points))

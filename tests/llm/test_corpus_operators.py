@@ -267,3 +267,14 @@ def test_html_names_are_hints():
     assert main_text(f"<div><h1>T</h1><p>{story[0]}</p><p class='text-muted'>{story[1]}</p><p>{story[2]}</p></div>") == whole
     assert main_text(f"<p class='text-a'>{story[0]}</p><p>Short.</p><p class='text-b'>{story[1]}</p>") == f"{story[0]}\n\nShort.\n\n{story[1]}"
     assert main_text(f"<div>{story[0]}</div><article><h1>T</h1><p>{story[1]}</p></article>") == f"T\n\n{story[1]}"
+
+
+def test_encoder_knows_added_tokens():
+    from tokenizers import Tokenizer
+
+    e, fresh, end = Encoder(tokenizer()), Tokenizer.from_file(tokenizer()), "<|endoftext|>"
+    texts = [f"a {end} hi", end, f"{end}{end}", f"a  {end}  b'{end}'s {end}", "a <|endof", "text|> b", f"x{end[:-1]}", f" {end}\n{end} \n", "plain", f"é🙂{end}日本 {end}"]
+    ids, off = e.ids(pa.array(texts))
+    assert ids[off[0] : off[1]].tolist() == [64, 220, 50256, 23105]
+    for i, t in enumerate(texts):
+        assert ids[off[i] : off[i + 1]].tolist() == fresh.encode(t, add_special_tokens=False).ids
