@@ -61,6 +61,12 @@ def ranges(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def segments(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices of all ranges [start, start + size), one after the other."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

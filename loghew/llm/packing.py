@@ -4,14 +4,16 @@ A piece of length r belongs to class k = capacity // r, and a bin of class k hol
 k pieces, so every worker fills the bins of each class by counting alone. Documents may be
 cut: whole sequences go first, and a rest whose class would waste more than `slack` of a
 bin is cut at the next reciprocal slot, capacity // (k + 1), until its last part fits.
-Bins that a worker leaves unfilled are filled by class across workers, and what is then
-left, under k pieces a class however large the input, is packed best-fit by one task.
+What a worker leaves open is filled across workers, in groups of one class of some thousand
+pieces, until each class is one group; the rest, under k pieces a class however large the
+input, is packed best-fit by one task.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import shards, small_batches, stored
 from .kernels import slices
-from .tokens import Encoder
+from .tokens import encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, sequence_id long, offset long, ids array<int>"
 COLUMNS = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("class", pa.int32()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.list_(pa.int32()))]
@@ -44,18 +46,18 @@ def cuts(length: int, capacity: int, slack: float) -> list[tuple[int, int]]:
 
 
 class Bins:
-    """Open bins by class; add() gives a full bin's pieces with their offsets."""
+    """Open bins by class (and group); add() gives a full bin's pieces with their offsets."""
 
     def __init__(self, base: int):
-        self.open: dict[int, list] = defaultdict(list)
+        self.open: dict[tuple[int, int], list] = defaultdict(list)
         self.next = base
 
-    def add(self, piece: tuple, k: int) -> list[tuple]:
-        rows = self.open[k]
+    def add(self, piece: tuple, k: int, group: int = 0) -> list[tuple]:
+        rows = self.open[k, group]
         rows.append(piece)
         if len(rows) < k:
             return []
-        self.open[k] = []
+        self.open[k, group] = []
         return self.close(rows)
 
     def close(self, rows: list) -> list[tuple]:
@@ -90,9 +92,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, slack: float = 1
     small_batches(spark)
 
     def local(batches):
-        encoder, bins = Encoder(tokenizer), Bins(TaskContext.get().partitionId() << 32)
-        for batch in slices(batches, "text", 1 << 19):
-            ids, off = encoder.ids(batch.column("text"))
+        own_encoder, bins = encoder(tokenizer), Bins(TaskContext.get().partitionId() << 32)
+        for batch in slices(batches, "text", 1 << 20):
+            ids, off = own_encoder.ids(batch.column("text"))
             ids = np.insert(ids, off[1:], end_id).astype("<u4")
             off = (off + np.arange(len(off))).tolist()
             raw, rows = memoryview(ids.tobytes()), []
@@ -105,15 +107,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, slack: float = 1
             yield from batches_of(rows)
         yield from batches_of(bins.rest())
 
-    def across(batches):
-        bins: dict[int, Bins] = {}
-        for batch in batches:
-            rows = []
-            for r in zip(*(batch.column(n).to_pylist() for n, _ in COLUMNS)):
-                k = r[5]
-                rows += bins.setdefault(k, Bins(ACROSS | k << 40)).add(r, k)
-            yield from batches_of(rows)
-        yield from batches_of([r for b in bins.values() for r in b.rest()])
+    def across(level):
+        def run(batches):
+            bins = Bins(ACROSS | level << 52 | TaskContext.get().partitionId() << 32)
+            for batch in batches:
+                rows = []
+                for r, group in zip(zip(*(batch.column(n).to_pylist() for n, _ in COLUMNS)), batch.column("group").to_pylist()):
+                    rows += bins.add(r, r[5], group)
+                yield from batches_of(rows)
+            yield from batches_of(bins.rest())
+
+        return run
 
     def last(batches):
         rows = [r for batch in batches for r in zip(*(batch.column(n).to_pylist() for n, _ in COLUMNS))]
@@ -128,8 +132,17 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, slack: float = 1
         yield from batches_of([r for s in sorted(space) for own in space[s] for r in bins.close(own)])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    first = stored(text.mapInArrow(local, SCHEMA), "pieces")
-    open_ = first.where(F.col("sequence_id").isNull()).repartition(shards(docs, 64), "class").sortWithinPartitions("class", "doc_id", "start", "ids_crc32")
-    second = stored(open_.mapInArrow(across, SCHEMA), "pieces")
-    third = second.where(F.col("sequence_id").isNull()).repartition(1).mapInArrow(last, SCHEMA)
-    return first.where(F.col("sequence_id").isNotNull()).unionByName(second.where(F.col("sequence_id").isNotNull())).unionByName(third)
+    done = stored(text.mapInArrow(local, SCHEMA), "pieces")
+    parts = [done.where(F.col("sequence_id").isNotNull())]
+    for level in range(256):
+        open_ = done.where(F.col("sequence_id").isNull())
+        most = open_.groupBy("class").count().agg(F.max("count")).first()[0] or 0
+        groups = -(-most // (4 * capacity))
+        group = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(max(groups, 1))).alias("group")
+        dealt = open_.select("*", group).repartition(shards(docs, 64), "class", "group").sortWithinPartitions("class", "group", "doc_id", "start", "ids_crc32")
+        done = stored(dealt.mapInArrow(across(level), SCHEMA), "pieces")
+        parts.append(done.where(F.col("sequence_id").isNotNull()))
+        if groups <= 1:
+            break
+    parts.append(done.where(F.col("sequence_id").isNull()).repartition(1).mapInArrow(last, SCHEMA))
+    return reduce(DataFrame.unionByName, parts)
