@@ -1,8 +1,13 @@
 """Main text of web pages by two-pass block rules.
 
-A page becomes blocks of text with their place in the page, their share of link text and
-their share of stop words. Pass 1 decides the clear blocks; pass 2 gives the ambiguous short
-ones the label of the nearest decided neighbours.
+A page becomes blocks of text with their place in the page, their length, their share of link
+text and their share of stop words. Pass 1 decides the clear blocks by these three; pass 2 gives
+the ambiguous short ones the label of the nearest decided neighbours.
+
+Tags and names are priors, weighed by the text that pass 1 finds: article and main frame a page
+where they hold enough of its text, and a menu, notice or sidebar by name or tag is left out
+unless it holds most of a page's prose, when the name misleads. Only what readers comment is known
+by its name alone, since it is prose as well.
 """
 
 from __future__ import annotations
@@ -24,13 +29,15 @@ ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
-AWAY = set("nav footer aside form head template svg math select button dialog menu object canvas audio video map script style".split())
+AWAY = set("nav footer aside form dialog menu".split())
+NO_TEXT = set("head template svg math select button object canvas audio video map script style".split())
 MAIN = set("article main".split())
 #: Words in class, id and role that mark what is not the article, and what is.
 BAD_WORDS = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notices?|alerts?|warning|disclaimer|nav\w*|menus?|breadcrumbs?|sidebars?|side|footers?|headers?|masthead|topbar|comments?|commentlist|disqus|replies|reply|respond|reviews?|related|recommend\w*|share\w*|sharing|social|subscribe\w*|newsletter\w*|signup|login|popups?|modal|overlay|widgets?|toolbar|pagination|pager|search|copyright|tags?|navigation|contentinfo|complementary)(?:$|[-_\s\d])",
     re.I,
 )
+COMMENT_WORDS = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|disqus|replies|reply|respond|reviews?)(?:$|[-_\s\d])", re.I)
 GOOD_WORDS = re.compile(r"(?:^|[-_\s])(?:article|articlebody|post|entry|content|main|story|body|text)(?:$|[-_\s\d])", re.I)
 #: Common short words of the languages the rules know.
 STOP_WORDS = frozenset(
@@ -46,12 +53,13 @@ WORD = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Rules:
-    """Thresholds of the two passes."""
+    """Thresholds of the two passes: lengths in characters, shares from 0 to 1."""
 
     short: int = 70
     long: int = 200
     stop_low: float = 0.10
     stop_high: float = 0.20
+    stop_framed: float = 0.04
     links: float = 0.5
 
 
@@ -59,7 +67,7 @@ class Rules:
 class Block:
     text: str
     links: int
-    away: bool
+    away: tuple[int, ...]  # the containers around it that a tag or name marks as no article; 0: surely none
     inside: int  # number of the article-like container, 0: none
     main: bool  # that container is an article or main element, not only named like one
     heading: bool
@@ -69,18 +77,17 @@ class Block:
 @dataclass
 class Frame:
     tag: str
-    away: bool
+    away: tuple[int, ...]
     inside: int
     main: bool = False
-    pre: dict = field(default_factory=dict)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order; markup, comments, scripts and styles are gone."""
     out: list[Block] = []
-    stack = [Frame("", False, 0)]
+    stack = [Frame("", (), 0)]
     parts: list[str] = []
-    links = anchor = containers = breaks = 0
+    links = anchor = containers = marked = breaks = 0
     heading = False
 
     def close() -> None:
@@ -151,39 +158,72 @@ def blocks(page: str) -> list[Block]:
         names = " ".join(a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes) if a[0].lower() in ("class", "id", "role"))
         hidden = re.search(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", attributes) is not None
         good = tag in MAIN or bool(names and GOOD_WORDS.search(names))
-        bad = tag in AWAY or hidden or (tag == "header" and not up.inside) or (tag not in ("body", "html", "article", "main") and bool(names) and bool(BAD_WORDS.search(names)))
+        sure = tag in NO_TEXT or hidden or (bool(names) and tag not in ("body", "html") and bool(COMMENT_WORDS.search(names)))
+        bad = sure or tag in AWAY or (tag == "header" and not up.inside) or (tag not in ("body", "html", "article", "main") and bool(names) and bool(BAD_WORDS.search(names)))
         inside, main = up.inside, up.main
         if good and not bad and (tag in MAIN or not inside):
             containers += 1
             inside, main = containers, tag in MAIN
-        stack.append(Frame(tag, up.away or bad, inside, main))
+        away = up.away
+        if bad:
+            marked += 1
+            away = (*away, 0 if sure else marked)
+        stack.append(Frame(tag, away, inside, main))
         if len(stack) > 2000:  # broken nesting
             del stack[1000:]
     close()
     return out
 
 
+def measured(b: Block) -> tuple[int, float, float]:
+    """(length, share of link text, share of stop words)."""
+    words = WORD.findall(b.text.lower())
+    return len(b.text), b.links / max(1, len(b.text.replace(" ", ""))), sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def by_density(size: int, links: float, stop: float, heading: bool, rules: Rules) -> str:
+    if links > rules.links:
+        return "bad"
+    if heading or size < rules.short:
+        return "short"
+    if stop >= rules.stop_high:
+        return "good" if size >= rules.long else "near"
+    return "near" if stop >= rules.stop_low else "bad"
+
+
 def classify(found: list[Block], rules: Rules) -> None:
     """Sets each block's label to good or bad.
 
-    Only an article or main element frames a page: other blocks are then bad. A container
-    that is merely named like one speaks for its own blocks and leaves the others to the rules.
+    Pass 1 labels every block by its length and densities, and from these labels weighs the
+    priors. article and main elements frame the page if their text beside links is at least
+    half as much as the good text elsewhere: other blocks are then bad; inside, a lower share
+    of stop words is enough, and blocks below it, such as tables, are ambiguous. Without a
+    frame, containers marked as no article that hold most of the good text, and at least two
+    long blocks' worth, count as unmarked.
     """
-    framed = any(b.main and not b.away for b in found)
-    for b in found:
-        words = WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        density = b.links / max(1, len(b.text.replace(" ", "")))
-        if b.away or density > rules.links or (framed and not b.inside):
+    facts = [measured(b) for b in found]
+    for b, f in zip(found, facts):
+        b.label = by_density(*f, b.heading, rules)
+    within = sum(f[0] for b, f in zip(found, facts) if b.main and not b.away and f[1] <= rules.links)
+    beside = sum(f[0] for b, f in zip(found, facts) if not b.main and not b.away and b.label == "good")
+    framed = within > 0 and 2 * within >= beside
+    cleared: set[int] = set()
+    if not framed:
+        for b in found:
+            if b.main:  # an article that is none, such as a teaser
+                b.main, b.inside = False, 0
+        mass: dict[tuple[int, ...], int] = {}
+        for b, f in zip(found, facts):
+            if b.label == "good" and 0 not in b.away:
+                mass[b.away] = mass.get(b.away, 0) + f[0]
+        for away, size in mass.items():
+            if size >= 2 * rules.long and 2 * size > sum(mass.values()):
+                cleared.update(away)
+    for b, (size, links, stop) in zip(found, facts):
+        if any(a not in cleared for a in b.away) or (framed and not b.main):
             b.label = "bad"
-        elif b.inside:
-            b.label = "good" if len(b.text) >= rules.short or stop >= rules.stop_low else "short"
-        elif b.heading or len(b.text) < rules.short:
-            b.label = "short"
-        elif stop >= rules.stop_high:
-            b.label = "good" if len(b.text) >= rules.long else "near"
-        else:
-            b.label = "near" if stop >= rules.stop_low else "bad"
+        elif framed and links <= rules.links:
+            b.label = "short" if b.heading or size < rules.short else "good" if stop >= rules.stop_framed else "near"
     decided = [b.label if b.label in ("good", "bad") else "" for b in found]
     n = len(found)
     before, after = [("", 0)] * n, [("", 0)] * n

@@ -13,7 +13,7 @@ import pytest
 import corpus_pipeline
 from loghew.llm import jpeg
 from loghew.llm.fingerprints import fingerprint
-from loghew.llm.html_text import extract, main_text
+from loghew.llm.html_text import Rules, extract, main_text
 from loghew.llm.language import identify
 from loghew.llm.mixing import mix_sources
 from loghew.llm.near_dedup import near_groups
@@ -278,3 +278,31 @@ def test_encoder_knows_added_tokens():
     assert ids[off[0] : off[1]].tolist() == [64, 220, 50256, 23105]
     for i, t in enumerate(texts):
         assert ids[off[i] : off[i + 1]].tolist() == fresh.encode(t, add_special_tokens=False).ids
+
+
+def test_html_densities_decide():
+    story = [" ".join(f"the tale of w{i}{j} and" for j in range(12)) for i in range(3)]
+    bare = " ".join(f"kw{j} qx{j} zz{j}" for j in range(30))  # long, no stop words
+    linked = f"<p><a href=u>{story[0]}</a></p>"
+    page = f"<div class=sidebar><h1>T</h1><p>{story[0]}</p><p>Short.</p><p>{story[1]}</p></div><div><p>{bare}</p></div>{linked}"
+    assert main_text(page) == f"T\n\n{story[0]}\n\nShort.\n\n{story[1]}"  # the name misleads: that container holds the prose
+    assert main_text(page, Rules(links=9)) == f"T\n\n{story[0]}\n\nShort.\n\n{story[1]}\n\n{story[0]}"
+    assert main_text(page, Rules(stop_low=0, stop_high=0)).split("\n\n")[-1] == bare
+    assert main_text(page, Rules(stop_low=0.9, stop_high=0.9)) == "" and main_text(page, Rules(short=10**6)) == ""
+    assert main_text(f"<div class=content>{bare}</div><div class=box><p>{story[0]}</p></div>") == story[0]  # as does a promising one
+    assert main_text(f"<form id=page><h1>T</h1><p>{story[0]}</p><p>{story[2]}</p><nav>{story[1]}</nav></form>") == f"T\n\n{story[0]}\n\n{story[2]}"
+    teasers = "<article><h2>One</h2></article>" * 2
+    assert main_text(f"{teasers}<div><p>{story[0]}</p><p>{story[1]}</p></div>") == f"One\n\nOne\n\n{story[0]}\n\n{story[1]}"
+    assert main_text(f"<p>{story[0]}</p><div class=comments>{' '.join(story * 3)}</div>") == story[0]
+    table = "<p>aa | bb | cc | dd | ee | ff | gg | hh | ii | jj | kk | ll | mm | nn | oo | pp</p>"
+    assert " | " in main_text(f"<article><p>{story[0]}</p>{table}<p>{story[1]}</p></article>")
+    assert " | " not in main_text(f"<div><p>{story[0]}</p>{table}<p>{story[1]}</p></div>")
+    assert main_text(f"<article><p>{story[0]}</p>{linked}</article>") == story[0]
+
+
+def test_html_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "u", PAGE, "t", 1, 2), (1, "u", PAGE, "t", 1, 2), (None, None, None, None, None, None)]
+    got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_blocks int, n_kept int")).collect()
+    assert sorted(r.text for r in got) == ["", main_text(PAGE), main_text(PAGE)]
+    long = "<article>" + "<p>the story of it and more</p>" * 30_000 + "</article>"
+    assert main_text(long).count("the story") == 30_000
