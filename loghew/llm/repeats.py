@@ -1,19 +1,18 @@
-"""Repeated windows across a corpus: anchors, compacted paths and the first place of each.
-
-The corpus is a de Bruijn graph whose edges are all windows of `length` units (words or
-bytes). Every window is dealt by its anchor, the least hashed gram inside it, so equal
-windows meet in one bucket. Consecutive windows of a document with one anchor form a
-compacted path (a nonbranching stretch as that document walks it); a path travels as one
-small record, not as its windows:
-
-1. scan: paths of each chunk of documents; equal paths of a chunk are settled there;
-2. joined by anchor: of equal paths the earliest is kept, later ones are cut whole; paths
-   that share an anchor but differ are the graph's branches and stay open;
-3. open paths are joined with their texts, split into windows and settled window by
-   window by the caller's resolver;
-4. the cuts of each document are joined with its text.
-
-A record is sent once per chunk and path, whatever the number of copies in the chunk, and
+"""Repeated windows across a corpus: anchors, stretches of windows and the first place of each.
+
+Every window of `length` units (words or bytes) is dealt by its anchor, the least hashed gram
+inside it, so equal windows have equal anchors. Consecutive windows of a document with one
+anchor form a stretch, which travels as one small record, not as its windows:
+
+1. scan: stretches of each chunk of documents, equal ones of a chunk settled there, are dealt
+   by the hash of the whole stretch (no anchor gathers in one task); of equal ones the
+   earliest is kept, and later ones are copies of it;
+2. of the kept ones those whose anchor has several stay open: they may share windows. The
+   caller resolves them, with their texts;
+3. copies that go on from each other, in document and source, are joined to spans;
+4. the spans of each document are joined with its text.
+
+A record is sent once per chunk and stretch, whatever the number of copies in the chunk, and
 no step makes pairs. Documents are ordered by (did, th); see common.keyed.
 """
 
@@ -31,9 +30,14 @@ from .kernels import U, mix, prefix, ranges, slices, window_argmin
 
 CHUNK = 1 << 19
 HELD = 12
-ROWS = "slot int, kind int, load binary"
-ROW_TYPE = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("load", pa.binary())])
-CUT, OPEN = 0, 1
+#: A packed record of many rows, or an open stretch.
+ROWS = "slot int, load binary, mh long, did long, th long, st int, nw int"
+FIELDS = [("slot", pa.int32()), ("load", pa.binary()), ("mh", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("st", pa.int32()), ("nw", pa.int32())]
+ROW_TYPE = pa.schema(FIELDS)
+#: n units from st of a document equal those from fst of an earlier place.
+SPANS = "did long, th long, st int, n int, fdid long, fth long, fst int"
+SPAN_TYPE = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("st", pa.int32()), ("n", pa.int32()), ("fdid", pa.int64()), ("fth", pa.int64()), ("fst", pa.int32())])
+COPY, OPEN = 0, 1
 
 
 def pack(**columns: np.ndarray) -> bytes:
@@ -62,11 +66,11 @@ def gathered(loads: list[bytes], **kinds: str) -> dict[str, np.ndarray]:
 
 PATH = {"mh": "u8", "sh": "u8", "did": "i8", "th": "i8", "st": "i4", "nw": "u2"}
 CUTS = {"did": "i8", "th": "i8", "st": "i4", "n": "i4"}
-OPENS = {"did": "i8", "th": "i8", "st": "i4", "nw": "u2", "mh": "u8"}
+SOURCES = {"fdid": "i8", "fth": "i8", "fst": "i4"}
 
 
 def paths(codes: np.ndarray, doc: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
-    """The compacted paths of documents given as unit codes; doc: each document's offsets."""
+    """The stretches of documents given as unit codes; doc: each document's offsets."""
     none = {k: np.zeros(0, v) for k, v in PATH.items()} | {"doc": np.zeros(0, np.int64)}
     if len(codes) < length:
         return none
@@ -106,31 +110,54 @@ def firsts(keys: list[np.ndarray], place: list[np.ndarray]) -> tuple[np.ndarray,
     return order, new, later
 
 
-def slot_rows(kind: int, slots: np.ndarray, n: int, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-    """One row for each slot that has some of the columns' rows."""
+def by_slot(slots: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, its rows), slot by slot."""
     order = np.argsort(slots, kind="stable")
     slots = slots[order]
     edges = np.flatnonzero(np.concatenate([[True], slots[1:] != slots[:-1], [True]])) if len(slots) else np.zeros(1, int)
-    for a, b in zip(edges[:-1], edges[1:]):
-        yield int(slots[a]), kind, pack(**{k: v[order[a:b]] for k, v in columns.items()})
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(slots[a]), order[a:b]
 
 
-def anchor_slot(mh: np.ndarray, n: int) -> np.ndarray:
-    return ((mix(mh) >> U(40)) * U(n) >> U(24)).astype(np.int32)  # anchors are minima of hashes, so they are hashed again
+def hash_slot(h: np.ndarray, n: int) -> np.ndarray:
+    return ((mix(h) >> U(40)) * U(n) >> U(24)).astype(np.int32)  # anchors are minima of hashes, so they are hashed again
 
 
-def doc_slot(did: np.ndarray, n: int) -> np.ndarray:
-    return np.mod(did, n).astype(np.int32)
+def doc_slot(x: dict, n: int) -> np.ndarray:
+    return np.mod(x["did"] ^ x["th"], n).astype(np.int32)
 
 
-def emit(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def emit(rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for a in range(0, len(rows), 64):
         part = rows[a : a + 64]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.int32()), pa.array([r[2] for r in part], pa.binary())], schema=ROW_TYPE)
+        none = [pa.nulls(len(part), t) for _, t in FIELDS[2:]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), pa.array([r[1] for r in part], pa.binary()), *none], schema=ROW_TYPE)
 
 
-def cut_columns(x: dict, rows: np.ndarray, length: int) -> dict[str, np.ndarray]:
-    return {"did": x["did"][rows], "th": x["th"][rows], "st": x["st"][rows], "n": x["nw"][rows].astype("i4") + length - 1}
+def records(columns: dict[str, np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Plain rows; what columns lack is null."""
+    n = len(next(iter(columns.values())))
+    for a in range(0, n, 1 << 14):
+        size = min(1 << 14, n - a)
+        yield pa.RecordBatch.from_arrays([pa.array(columns[k][a : a + size].astype(t.to_pandas_dtype()), t) if k in columns else pa.nulls(size, t) for k, t in zip(schema.names, schema.types)], schema=schema)
+
+
+def merged(c: dict[str, np.ndarray], sources: bool) -> dict[str, np.ndarray]:
+    """Spans that touch or overlap, with one offset to one source, as one."""
+    keys = [c["did"], c["th"]]
+    if sources:
+        keys += [c["fdid"], c["fth"], c["fst"].astype(np.int64) - c["st"]]
+    order = np.lexsort([c["st"], *reversed(keys)])
+    st, end = c["st"][order].astype(np.int64), (c["st"].astype(np.int64) + c["n"])[order]
+    new = np.ones(len(order), bool)
+    new[1:] = st[1:] > end[:-1]
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    head = np.flatnonzero(new)
+    out = {k: v[order][head] for k, v in c.items()}
+    out["n"] = (np.maximum.reduceat(end, head) - st[head] if len(head) else end).astype("i4")
+    return out
 
 
 def prime(n: int) -> int:
@@ -140,10 +167,10 @@ def prime(n: int) -> int:
 
 
 class Repeats:
-    """units(column) -> (codes, doc offsets); split(open paths of one slot's documents) and settle(loads) resolve open paths."""
+    """units(column) -> (codes, doc offsets). sources: keep where each copy comes from."""
 
-    def __init__(self, docs: DataFrame, units: Callable, length: int, gram: int):
-        self.units, self.length, self.gram = units, length, gram
+    def __init__(self, docs: DataFrame, units: Callable, length: int, gram: int, sources: bool):
+        self.units, self.length, self.gram, self.sources = units, length, gram, sources
         small_batches(docs.sparkSession)
         self.docs = keyed(docs)
         if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -152,23 +179,32 @@ class Repeats:
         self.slots = prime(shards(docs, 4))
 
     def scan(self) -> DataFrame:
-        """Stages 1 and 2: CUT and OPEN rows by document slot."""
+        """Step 1: packed copies by document slot, and open stretches."""
         units, length, gram, anchors, slots = self.units, self.length, self.gram, self.anchors, self.slots
+        sources = self.sources
+        cut_kinds = CUTS | SOURCES if sources else CUTS
+
+        def copies(x: dict, order: np.ndarray, new: np.ndarray, later: np.ndarray) -> dict[str, np.ndarray]:
+            late = order[later]
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))[later]]
+            own = {"did": x["did"][late], "th": x["th"][late], "st": x["st"][late], "n": x["nw"][late].astype("i4") + (length - 1)}
+            return own | {"fdid": x["did"][first], "fth": x["th"][first], "fst": x["st"][first]} if sources else own
 
-        def settle(held: list[dict]) -> tuple[dict, np.ndarray, np.ndarray]:
-            x = {k: np.concatenate([h[k] for h in held]) for k in PATH}
-            order, first, later = firsts([x["mh"], x["sh"]], [x["did"], x["th"], x["st"]])
-            return x, order[first], order[later]
+        def settle(x: dict) -> tuple[np.ndarray, dict]:
+            order, new, later = firsts([x["mh"], x["sh"]], [x["did"], x["th"], x["st"]])
+            return order[new], copies(x, order, new, later)
 
         def chunk(batches):
             held: list[dict] = []
 
             def flush():
-                x, kept, later = settle(held)
-                rows = list(slot_rows(OPEN, anchor_slot(x["mh"][kept], anchors), anchors, {k: x[k][kept] for k in PATH}))
-                if len(later):  # copies inside the chunk; dealt out evenly, they only pass through
-                    rows.append((int(x["did"][later[0]] % anchors), CUT, pack(**cut_columns(x, later, length))))
+                x = {k: np.concatenate([h[k] for h in held]) for k in PATH}
                 held.clear()
+                kept, c = settle(x)
+                x = {k: v[kept] for k, v in x.items()}
+                rows = [(slot, bytes([OPEN]) + pack(**{k: x[k][own] for k in PATH})) for slot, own in by_slot(hash_slot(x["mh"] ^ x["sh"], anchors))]
+                if len(c["did"]):  # copies inside the chunk; dealt out evenly, they only pass through
+                    rows.append((int(c["did"][0] % anchors), bytes([COPY]) + pack(**c)))
                 return emit(rows)
 
             for batch in slices(batches, "text", CHUNK):
@@ -186,94 +222,84 @@ class Repeats:
         def join(batches):
             loads, rows = [], []
             for batch in batches:
-                for kind, load in zip(batch.column("kind").to_pylist(), batch.column("load").to_pylist()):
-                    if kind == CUT:
-                        x = unpack(load, **CUTS)
-                        rows += slot_rows(CUT, doc_slot(x["did"], slots), slots, x)
+                for load in batch.column("load").to_pylist():
+                    if load[0] == COPY:
+                        c = unpack(load[1:], **cut_kinds)
+                        rows += [(slot, pack(**{k: v[own] for k, v in c.items()})) for slot, own in by_slot(doc_slot(c, slots))]
                         if len(rows) >= 512:
                             yield from emit(rows)
                             rows = []
                     else:
-                        loads.append(load)
+                        loads.append(load[1:])
             if loads:
                 x = gathered(loads, **PATH)
                 loads.clear()
-                order, first, later = firsts([x["mh"], x["sh"]], [x["did"], x["th"], x["st"]])
-                c = cut_columns(x, order[later], length)
-                rows += slot_rows(CUT, doc_slot(c["did"], slots), slots, c)
-                kept = order[first]
-                mh = x["mh"][kept]
-                branch = np.zeros(len(kept), bool)
-                branch[1:] = mh[1:] == mh[:-1]
-                branch[:-1] |= mh[1:] == mh[:-1]
-                kept = kept[branch]
-                o = {k: x[k][kept] for k in OPENS}
-                rows += slot_rows(OPEN, doc_slot(o["did"], slots), slots, o)
+                kept, c = settle(x)
+                rows += [(slot, pack(**{k: v[own] for k, v in c.items()})) for slot, own in by_slot(doc_slot(c, slots))]
+                yield from records({"mh": x["mh"][kept].view("i8"), **{k: x[k][kept] for k in ("did", "th", "st", "nw")}}, ROW_TYPE)
             yield from emit(rows)
 
-        return stored(self.docs.mapInArrow(chunk, ROWS).repartition(anchors, "slot").mapInArrow(join, ROWS), "paths")
-
-    def with_texts(self, rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
-        """fn(documents, loads) for each document slot."""
-        slot = F.pmod(F.col("did"), F.lit(self.slots)).cast("int")
-        left = self.docs.withColumn("slot", slot).groupBy("slot")
-        return left.cogroup(rows.select("slot", "load").groupBy("slot")).applyInArrow(fn, schema)
+        return stored(self.docs.mapInArrow(chunk, ROWS).repartition(anchors, "slot").mapInArrow(join, ROWS), "stretches")
 
-    def cuts(self, split: Callable, settle: Callable) -> tuple[DataFrame, DataFrame]:
-        """(cuts of whole paths, cuts of single windows), rows by document slot.
+    def open(self, found: DataFrame) -> DataFrame:
+        """Step 2: (mh, did, th, st, nw) of the stretches that share an anchor with others."""
+        kept = found.where("mh is not null").select("mh", "did", "th", "st", "nw")
+        return kept.join(kept.groupBy("mh").count().where("count > 1").select("mh"), "mh", "left_semi")
 
-        split(codes, doc offsets, text column, opens with row numbers 'row') gives rows of
-        (slot, load) for the anchors' buckets; settle(loads) gives the CUTS columns of what
-        one bucket cuts.
-        """
-        found, slots, units, anchors = self.scan(), self.slots, self.units, self.anchors
+    def spans(self, found: DataFrame) -> DataFrame:
+        """Step 3: the copies of whole stretches."""
+        kinds, sources = CUTS | SOURCES if self.sources else CUTS, self.sources
 
-        def open_(docs: pa.Table, rows: pa.Table) -> pa.Table:
-            if not rows.num_rows or not docs.num_rows:
-                return ROW_TYPE.empty_table()
-            o = gathered(rows.column("load").to_pylist(), **OPENS)
-            docs = docs.combine_chunks()
-            key = {(d, t): i for i, (d, t) in enumerate(zip(docs.column("did").to_pylist(), docs.column("th").to_pylist()))}
-            row = np.array([key[k] for k in zip(o["did"].tolist(), o["th"].tolist())], np.int64)
-            used, row = np.unique(row, return_inverse=True)
-            o["row"] = row
-            return pa.Table.from_batches(list(emit([(s, OPEN, x) for s, x in split(docs.column("text").take(pa.array(used)), o, anchors)])), ROW_TYPE)
-
-        def close(batches):
+        def run(batches):
             loads = [x for b in batches for x in b.column("load").to_pylist()]
             if loads:
-                c = settle(loads)
-                yield from emit(list(slot_rows(CUT, doc_slot(c["did"], slots), slots, c)))
+                yield from records(merged(gathered(loads, **kinds), sources), SPAN_TYPE)
+
+        return found.where("load is not null").select("slot", "load").repartition(self.slots, "slot").mapInArrow(run, SPANS)
 
-        windows = self.with_texts(found.where(F.col("kind") == OPEN), open_, ROWS).repartition(anchors, "slot").mapInArrow(close, ROWS)
-        return found.where(F.col("kind") == CUT), stored(windows, "windows")
+    def with_texts(self, rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
+        """fn(documents, rows) for each document slot; rows have did and th."""
+        slot = F.pmod(F.col("did").bitwiseXOR(F.col("th")), F.lit(self.slots)).cast("int")
+        left = self.docs.withColumn("slot", slot).groupBy("slot")
+        return left.cogroup(rows.withColumn("slot", slot).groupBy("slot")).applyInArrow(fn, schema)
 
-    def removed(self, split: Callable, settle: Callable, result: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
-        """result(text column, covered: mask over units, units' doc offsets, did) for each document slot."""
-        whole, single = self.cuts(split, settle)
+    def removed(self, spans: DataFrame, result: Callable, schema: str, arrow: pa.Schema) -> DataFrame:
+        """Step 4: result(batch of documents, covered: mask over units, units' doc offsets) for each document slot."""
         units = self.units
 
         def finish(docs: pa.Table, rows: pa.Table) -> pa.Table:
             if not docs.num_rows:
                 return arrow.empty_table()
             docs = docs.combine_chunks()
-            c = gathered(rows.column("load").to_pylist(), **CUTS)
+            c = {k: column(rows, k) for k in CUTS}
             order = np.lexsort([c["th"], c["did"]])
             c = {k: v[order] for k, v in c.items()}
             edge = np.flatnonzero(np.concatenate([[True], (c["did"][1:] != c["did"][:-1]) | (c["th"][1:] != c["th"][:-1]), [True]])) if len(order) else np.zeros(1, int)
-            spans = {(int(c["did"][a]), int(c["th"][a])): (a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())}
+            own = {(int(c["did"][a]), int(c["th"][a])): (a, b) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())}
             out = []
             for batch in slices(docs.to_batches(), "text", 4 * CHUNK):
                 covered, doc = units(batch.column("text"), covered=True)
                 change = np.zeros(covered + 1, np.int32)
-                did, th = batch.column("did").to_pylist(), batch.column("th").to_pylist()
-                for i, k in enumerate(zip(did, th)):
-                    if k in spans:
-                        a, b = spans[k]
+                for i, k in enumerate(zip(batch.column("did").to_pylist(), batch.column("th").to_pylist())):
+                    if k in own:
+                        a, b = own[k]
                         s = c["st"][a:b] + doc[i]
                         np.add.at(change, s, 1)
                         np.add.at(change, s + c["n"][a:b], -1)
                 out.append(result(batch, np.cumsum(change[:-1]) > 0, doc))
             return pa.Table.from_batches(out, arrow)
 
-        return self.with_texts(whole.unionByName(single), finish, schema)
+        return self.with_texts(spans.select("did", "th", "st", "n"), finish, schema)
+
+
+def column(rows: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, rows.schema.field(name).type.to_pandas_dtype()), *(np.asarray(c) for c in rows.column(name).chunks)])
+
+
+def rows_of(docs: pa.Table, rows: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """(texts that rows name, each row's text among them); of equal documents one serves."""
+    docs = docs.combine_chunks()
+    key = {k: i for i, k in enumerate(zip(docs.column("did").to_pylist(), docs.column("th").to_pylist()))}
+    row = np.array([key[k] for k in zip(column(rows, "did").tolist(), column(rows, "th").tolist())], np.int64)
+    used, row = np.unique(row, return_inverse=True)
+    return docs.column("text").take(pa.array(used)).combine_chunks(), row

@@ -1,4 +1,13 @@
-"""Substring dedup on words: de Bruijn compaction over 20-word edges (see repeats)."""
+"""Substring dedup on words: de Bruijn compaction over 20-word edges.
+
+An edge is a window of `length` words, from the node of its first length - 1 words to the node
+of its last ones. Stretches of edges that come again whole are copies at once (see repeats); of
+the rest every edge becomes a row. Edges that come again, with their first place, are the graph;
+its in- and out-degrees tell the nodes that no path branches at, and joins compact the edges
+between branches to paths that are one stretch of a document. Where a document walks a path it
+holds a repeated span; its words are compared with those at the source's coordinates before any
+word goes.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +16,20 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import NULL_ID
-from .kernels import Words, prefix, ranges
-from .repeats import CUTS, Repeats, anchor_slot, firsts, gathered, pack
+from .common import NULL_ID, stored
+from .kernels import SPACE, Words, prefix, ranges, segments
+from .repeats import Repeats, column, rows_of
 
-EDGE = {"wh": "u8", "did": "i8", "th": "i8", "st": "i4"}
+EDGE = "e long, u long, v long, did long, th long, st int"
+EDGE_TYPE = pa.schema([("e", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("st", pa.int32())])
+DIGEST = "did long, th long, st int, n int, words binary"
+DIGEST_TYPE = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("st", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+PLACE = ["did", "th", "st"]
 
 
 def words_of(column, covered: bool = False):
@@ -22,6 +37,79 @@ def words_of(column, covered: bool = False):
     return (len(w.start) if covered else w.hash), w.doc
 
 
+def edges(repeats: Repeats, open_: DataFrame, length: int) -> DataFrame:
+    """(e, u, v, did, th, st): the edges of open stretches with their nodes, by hash, and places."""
+
+    def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return EDGE_TYPE.empty_table()
+        texts, row = rows_of(docs, rows)
+        w = Words(texts)
+        c = prefix(w.hash)
+        n = column(rows, "nw").astype(np.int64)
+        rep = np.repeat(np.arange(len(n)), n)
+        st = segments(column(rows, "st").astype(np.int64), n)
+        at = w.doc[row[rep]] + st
+        hashes = (ranges(c, at, at + length), ranges(c, at, at + length - 1), ranges(c, at + 1, at + length))
+        return pa.table([*(h.view("i8") for h in hashes), column(rows, "did")[rep], column(rows, "th")[rep], st.astype("i4")], schema=EDGE_TYPE)
+
+    return repeats.with_texts(open_, run, EDGE)
+
+
+def paths(edge: DataFrame) -> DataFrame:
+    """(e, u, v, fdid, fth, fst, head): repeated edges with their first place and the place where their path begins there.
+
+    A path goes on from an edge to the next one of its first document if the node between
+    has one edge in and one out.
+    """
+    first = edge.groupBy("e", "u", "v").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("times")).where("times > 1")
+    graph = stored(first.select("e", "u", "v", F.col("f.did").alias("fdid"), F.col("f.th").alias("fth"), F.col("f.st").alias("fst")), "graph")
+    goes_out = graph.groupBy(F.col("u").alias("node")).count().where("count = 1").select("node")
+    comes_in = graph.groupBy(F.col("v").alias("node")).count().where("count = 1").select("node")
+    through = goes_out.join(comes_in, "node").withColumn("through", F.lit(True))
+    by = W.partitionBy("fdid", "fth").orderBy("fst")
+    goes_on = F.col("through").isNotNull() & (F.lag("fst").over(by) == F.col("fst") - 1) & (F.lag("v").over(by) == F.col("u"))
+    graph = graph.join(through, F.col("u") == F.col("node"), "left").withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
+    head = F.max(F.when(~F.col("goes_on"), F.col("fst"))).over(by.rowsBetween(W.unboundedPreceding, 0))
+    return stored(graph.select("e", "u", "v", "fdid", "fth", "fst", head.alias("head")), "paths")
+
+
+def walks(edge: DataFrame, path: DataFrame, length: int) -> DataFrame:
+    """Spans where a document walks a path, or part of one, that an earlier place has."""
+    again = edge.join(path, ["e", "u", "v"]).where(~((F.col("did") == F.col("fdid")) & (F.col("th") == F.col("fth")) & (F.col("st") == F.col("fst"))))
+    walk = ["did", "th", "fdid", "fth", "head", "shift"]
+    again = again.withColumn("shift", F.col("st") - F.col("fst"))
+    run = F.col("st") - F.row_number().over(W.partitionBy(*walk).orderBy("st"))
+    spans = again.withColumn("run", run).groupBy(*walk, "run").agg(F.min("st").alias("st"), (F.count("*") + length - 1).cast("int").alias("n"))
+    return spans.select("did", "th", "st", "n", "fdid", "fth", (F.col("st") - F.col("shift")).alias("fst"))
+
+
+def verified(repeats: Repeats, spans: DataFrame) -> DataFrame:
+    """The spans whose words, by a 128-bit cryptographic digest, are those at the source's coordinates."""
+    spans = stored(spans, "spans")
+    asked = spans.select(*PLACE, "n").union(spans.select("fdid", "fth", "fst", "n")).distinct()
+
+    def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return DIGEST_TYPE.empty_table()
+        texts, row = rows_of(docs, rows)
+        w = Words(texts)
+        gap = SPACE[w.raw]
+        keep = ~gap
+        after = w.end[w.end < len(gap)]
+        keep[after] |= gap[after]  # one sign after each word
+        plain = memoryview(np.where(gap, np.uint8(0x20), w.raw)[keep].tobytes())
+        to = np.concatenate([[0], np.cumsum(keep)])
+        first = w.doc[row] + column(rows, "st")
+        a, b = to[w.start[first]].tolist(), to[w.end[first + column(rows, "n") - 1]].tolist()
+        digests = [hashlib.blake2b(plain[x:y], digest_size=16).digest() for x, y in zip(a, b)]
+        return pa.table([*(rows.column(k) for k in (*PLACE, "n")), pa.array(digests, pa.binary())], schema=DIGEST_TYPE)
+
+    said = stored(repeats.with_texts(asked, run, DIGEST), "digests")
+    source = said.select(F.col("did").alias("fdid"), F.col("th").alias("fth"), F.col("st").alias("fst"), "n", F.col("words").alias("fwords"))
+    return spans.join(said, [*PLACE, "n"]).join(source, ["fdid", "fth", "fst", "n"]).where(F.col("words") == F.col("fwords")).select(*PLACE, "n")
+
+
 def dedup_words(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFrame:
     """Each document with the words of later repeated windows taken out.
 
@@ -35,26 +123,10 @@ def dedup_words(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFrame:
     the doc_id are ordered by a hash of the text; an empty table gives no rows; further
     columns are ignored. Long texts are taken whole, in batches of whole documents.
     """
-
-    def split(texts, o, anchors):
-        w = Words(texts)
-        c = prefix(w.hash)
-        n = o["nw"].astype(np.int64)
-        rep = np.repeat(np.arange(len(n)), n)
-        at = o["st"][rep] + (np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n))
-        begin = w.doc[o["row"][rep]] + at
-        x = {"wh": ranges(c, begin, begin + length), "did": o["did"][rep], "th": o["th"][rep], "st": at.astype("i4")}
-        slot = anchor_slot(o["mh"], anchors)[rep]
-        order = np.argsort(slot, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(slot[order]) != 0, [True]])) if len(order) else np.zeros(1, int)
-        for a, b in zip(edges[:-1], edges[1:]):
-            yield int(slot[order[a]]), pack(**{k: v[order[a:b]] for k, v in x.items()})
-
-    def settle(loads):
-        x = gathered(loads, **EDGE)
-        order, _, later = firsts([x["wh"]], [x["did"], x["th"], x["st"]])
-        late = order[later]
-        return {"did": x["did"][late], "th": x["th"][late], "st": x["st"][late], "n": np.full(len(late), length, CUTS["n"])}
+    repeats = Repeats(docs, words_of, length, gram, sources=True)
+    found = repeats.scan()
+    edge = stored(edges(repeats, repeats.open(found), length), "edges")
+    spans = verified(repeats, repeats.spans(found).unionByName(walks(edge, paths(edge), length)))
 
     def result(batch, covered, doc):
         w = Words(batch.column("text"))
@@ -69,4 +141,4 @@ def dedup_words(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFrame:
             [pa.array(ids, pa.int64()), pa.array(np.diff(w.doc), pa.int64()), pa.array(np.diff(gone[w.doc]), pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], schema=ARROW
         )
 
-    return Repeats(docs, words_of, length, gram).removed(split, settle, result, RESULT, ARROW)
+    return repeats.removed(spans, result, RESULT, ARROW)
