@@ -244,7 +244,8 @@ class Repeats:
     def open(self, found: DataFrame) -> DataFrame:
         """Step 2: (mh, did, th, st, nw) of the stretches that share an anchor with others."""
         kept = found.where("mh is not null").select("mh", "did", "th", "st", "nw")
-        return kept.join(kept.groupBy("mh").count().where("count > 1").select("mh"), "mh", "left_semi")
+        shared = stored(kept.groupBy("mh").count().where("count > 1").select("mh"), "anchors")  # of known size, so that a few are broadcast
+        return kept.join(shared, "mh", "left_semi")
 
     def spans(self, found: DataFrame) -> DataFrame:
         """Step 3: the copies of whole stretches."""

@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import NULL_ID, stored
-from .kernels import SPACE, Words, prefix, ranges, segments
+from .common import NULL_ID, dropped, stored
+from .kernels import SPACE, U, Words, prefix, ranges, segments
 from .repeats import Repeats, column, rows_of
 
-EDGE = "e long, u long, v long, did long, th long, st int"
-EDGE_TYPE = pa.schema([("e", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("st", pa.int32())])
+EDGE = "e long, u int, v int, did long, th long, st int"
+EDGE_TYPE = pa.schema([("e", pa.int64()), ("u", pa.int32()), ("v", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("st", pa.int32())])
 DIGEST = "did long, th long, st int, n int, words binary"
 DIGEST_TYPE = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("st", pa.int32()), ("n", pa.int32()), ("words", pa.binary())])
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -38,7 +38,10 @@ def words_of(column, covered: bool = False):
 
 
 def edges(repeats: Repeats, open_: DataFrame, length: int) -> DataFrame:
-    """(e, u, v, did, th, st): the edges of open stretches with their nodes, by hash, and places."""
+    """(e, u, v, did, th, st): the edges of open stretches with their nodes, by hash, and places.
+
+    Nodes have 32 bits: two taken for one only end a path early.
+    """
 
     def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -50,20 +53,20 @@ def edges(repeats: Repeats, open_: DataFrame, length: int) -> DataFrame:
         rep = np.repeat(np.arange(len(n)), n)
         st = segments(column(rows, "st").astype(np.int64), n)
         at = w.doc[row[rep]] + st
-        hashes = (ranges(c, at, at + length), ranges(c, at, at + length - 1), ranges(c, at + 1, at + length))
-        return pa.table([*(h.view("i8") for h in hashes), column(rows, "did")[rep], column(rows, "th")[rep], st.astype("i4")], schema=EDGE_TYPE)
+        nodes = (ranges(c, at, at + length - 1), ranges(c, at + 1, at + length))
+        return pa.table([ranges(c, at, at + length).view("i8"), *((h >> U(32)).astype("u4").view("i4") for h in nodes), column(rows, "did")[rep], column(rows, "th")[rep], st.astype("i4")], schema=EDGE_TYPE)
 
     return repeats.with_texts(open_, run, EDGE)
 
 
 def paths(edge: DataFrame) -> DataFrame:
-    """(e, u, v, fdid, fth, fst, head): repeated edges with their first place and the place where their path begins there.
+    """(e, fdid, fth, fst, head): repeated edges with their first place and the place where their path begins there.
 
     A path goes on from an edge to the next one of its first document if the node between
     has one edge in and one out.
     """
-    first = edge.groupBy("e", "u", "v").agg(F.min(F.struct(*PLACE)).alias("f"), F.count("*").alias("times")).where("times > 1")
-    graph = stored(first.select("e", "u", "v", F.col("f.did").alias("fdid"), F.col("f.th").alias("fth"), F.col("f.st").alias("fst")), "graph")
+    first = edge.groupBy("e").agg(F.min(F.struct(*PLACE, "u", "v")).alias("f"), F.count("*").alias("times")).where("times > 1")
+    graph = stored(first.select("e", "f.u", "f.v", F.col("f.did").alias("fdid"), F.col("f.th").alias("fth"), F.col("f.st").alias("fst")), "graph")
     goes_out = graph.groupBy(F.col("u").alias("node")).count().where("count = 1").select("node")
     comes_in = graph.groupBy(F.col("v").alias("node")).count().where("count = 1").select("node")
     through = goes_out.join(comes_in, "node").withColumn("through", F.lit(True))
@@ -71,12 +74,12 @@ def paths(edge: DataFrame) -> DataFrame:
     goes_on = F.col("through").isNotNull() & (F.lag("fst").over(by) == F.col("fst") - 1) & (F.lag("v").over(by) == F.col("u"))
     graph = graph.join(through, F.col("u") == F.col("node"), "left").withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
     head = F.max(F.when(~F.col("goes_on"), F.col("fst"))).over(by.rowsBetween(W.unboundedPreceding, 0))
-    return stored(graph.select("e", "u", "v", "fdid", "fth", "fst", head.alias("head")), "paths")
+    return stored(graph.select("e", "fdid", "fth", "fst", head.alias("head")), "paths")
 
 
 def walks(edge: DataFrame, path: DataFrame, length: int) -> DataFrame:
     """Spans where a document walks a path, or part of one, that an earlier place has."""
-    again = edge.join(path, ["e", "u", "v"]).where(~((F.col("did") == F.col("fdid")) & (F.col("th") == F.col("fth")) & (F.col("st") == F.col("fst"))))
+    again = edge.select("e", *PLACE).join(path.select("e", "fdid", "fth", "fst", "head"), "e").where(~((F.col("did") == F.col("fdid")) & (F.col("th") == F.col("fth")) & (F.col("st") == F.col("fst"))))
     walk = ["did", "th", "fdid", "fth", "head", "shift"]
     again = again.withColumn("shift", F.col("st") - F.col("fst"))
     run = F.col("st") - F.row_number().over(W.partitionBy(*walk).orderBy("st"))
@@ -86,7 +89,6 @@ def walks(edge: DataFrame, path: DataFrame, length: int) -> DataFrame:
 
 def verified(repeats: Repeats, spans: DataFrame) -> DataFrame:
     """The spans whose words, by a 128-bit cryptographic digest, are those at the source's coordinates."""
-    spans = stored(spans, "spans")
     asked = spans.select(*PLACE, "n").union(spans.select("fdid", "fth", "fst", "n")).distinct()
 
     def run(docs: pa.Table, rows: pa.Table) -> pa.Table:
@@ -107,7 +109,10 @@ def verified(repeats: Repeats, spans: DataFrame) -> DataFrame:
 
     said = stored(repeats.with_texts(asked, run, DIGEST), "digests")
     source = said.select(F.col("did").alias("fdid"), F.col("th").alias("fth"), F.col("st").alias("fst"), "n", F.col("words").alias("fwords"))
-    return spans.join(said, [*PLACE, "n"]).join(source, ["fdid", "fth", "fst", "n"]).where(F.col("words") == F.col("fwords")).select(*PLACE, "n")
+    same = spans.join(said, [*PLACE, "n"]).join(source, ["fdid", "fth", "fst", "n"]).where(F.col("words") == F.col("fwords")).select(*PLACE, "n")
+    same = stored(same, "verified")
+    dropped(said)
+    return same
 
 
 def dedup_words(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFrame:
@@ -126,7 +131,12 @@ def dedup_words(docs: DataFrame, length: int = 20, gram: int = 6) -> DataFrame:
     repeats = Repeats(docs, words_of, length, gram, sources=True)
     found = repeats.scan()
     edge = stored(edges(repeats, repeats.open(found), length), "edges")
-    spans = verified(repeats, repeats.spans(found).unionByName(walks(edge, paths(edge), length)))
+    copies = stored(repeats.spans(found), "copies")
+    dropped(found)
+    path = paths(edge)
+    walked = stored(walks(edge, path, length), "walks")
+    dropped(edge, path)
+    spans = verified(repeats, copies.unionByName(walked))
 
     def result(batch, covered, doc):
         w = Words(batch.column("text"))
