@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import NULL_ID, stored
+from .common import NULL_ID, dropped, shards, stored
 from .induced import BLOCK, Column, suffixes
 from .kernels import BYTE_CODE, buffers, segments
 from .repeats import ROW_TYPE, ROWS, SPAN_TYPE, SPANS, Repeats, by_slot, column, emit, firsts, hash_slot, merged, pack, records, rows_of, unpack
@@ -93,7 +93,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 32, held: int =
     """
 
     repeats = Repeats(docs, bytes_of, length, gram, sources=False)
-    anchors = repeats.anchors
+    anchors = shards(docs, 2)  # a usual shard's names then fit in memory
 
     def split(docs: pa.Table, rows: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -127,6 +127,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, gram: int = 32, held: int =
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *counts, pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary())], schema=ARROW)
 
     found = repeats.scan()
-    shards = repeats.with_texts(repeats.open(found), split, ROWS).select("slot", "load").repartition(anchors, "slot")
-    spans = repeats.spans(found).unionByName(stored(shards.mapInArrow(close, SPANS), "windows"))
+    strings = repeats.with_texts(repeats.open(found), split, ROWS).select("slot", "load").repartition(anchors, "slot")
+    spans = stored(repeats.spans(found).unionByName(strings.mapInArrow(close, SPANS)), "spans")
+    dropped(found)
     return repeats.removed(spans, result, RESULT, ARROW)

@@ -88,17 +88,23 @@ class Store:
         return tuple(np.fromfile(self.file, kind, n) for kind in self.kinds)
 
     def take(self, r: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """The range's tuples, which leave the store; what is pushed meanwhile comes last."""
+        """The range's tuples, which leave the store, as many at once as wait and make a block; what is pushed meanwhile comes last."""
         while True:
-            if 2 * self.taken[r] < len(self.places[r]):
-                self.taken[r] += 1
-                yield self.read(r, self.taken[r] - 1)
-            elif self.parts[r]:
-                columns = self.parts[r].pop(0)
-                self.now -= sum(c.nbytes + 128 for c in columns)
-                yield columns
-            else:
+            got, n = [], 0
+            while n < BLOCK:
+                if 2 * self.taken[r] < len(self.places[r]):
+                    self.taken[r] += 1
+                    got.append(self.read(r, self.taken[r] - 1))
+                elif self.parts[r]:
+                    got += self.parts[r]
+                    self.now -= sum(c.nbytes + 128 for columns in self.parts[r] for c in columns)
+                    self.parts[r] = []
+                else:
+                    break
+                n = sum(len(columns[0]) for columns in got)
+            if not got:
                 return
+            yield got[0] if len(got) == 1 else tuple(np.concatenate(c) for c in zip(*got))
 
     def look(self, r: int, backward: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
         """The range's tuples, which stay; backward: the last first, each part reversed."""
