@@ -37,22 +37,22 @@ FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN c ON w.doc_id = c.node
 """
 
 ORACLES["op8_secret_scan"] = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS o, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS o, coalesce(source, '') || '/' || coalesce(lang, '') AS p, coalesce(text, '') AS t FROM documents),
 m AS (
-  SELECT r, doc_id, o, 0 AS rank, 'assign' AS kind, 6 AS least, string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS g,
+  SELECT r, doc_id, o, p, 0 AS rank, 'assign' AS kind, 6 AS least, string_split_regex(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS g,
     regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)') AS f,
     regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS v FROM d
-  UNION ALL SELECT r, doc_id, o, 1, 'access', 20, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
-  UNION ALL SELECT r, doc_id, o, 2, 'hex', 24, string_split_regex(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') FROM d
-  UNION ALL SELECT r, doc_id, o, 3, 'owned', 20, string_split_regex(t, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}') FROM d),
+  UNION ALL SELECT r, doc_id, o, p, 1, 'access', 20, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') FROM d
+  UNION ALL SELECT r, doc_id, o, p, 2, 'hex', 24, string_split_regex(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}'), regexp_extract_all(t, '[0-9a-f]{24,}') FROM d
+  UNION ALL SELECT r, doc_id, o, p, 3, 'owned', 20, string_split_regex(t, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}'), regexp_extract_all(t, '[A-Za-z0-9+/_-]{20,}') FROM d),
 i AS (SELECT *, unnest(range(1, len(f) + 1)) AS n FROM m),
-s AS (SELECT r, doc_id, o, rank, kind, v[n] AS value, least, len(f[n]) AS size,
+s AS (SELECT r, doc_id, o, p, rank, kind, v[n] AS value, least, len(f[n]) AS size,
         list_sum(list_transform(g[1:n], lambda x: len(x))) + coalesce(list_sum(list_transform(f[1:n - 1], lambda x: len(x))), 0) AS start FROM i),
 b AS (SELECT *, start + size AS stop FROM s WHERE len(value) >= least),
 a AS (SELECT * FROM b WHERE kind <> 'owned' OR (regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
         AND NOT EXISTS (SELECT 1 FROM b c WHERE c.r = b.r AND c.kind <> 'owned' AND b.start < c.stop AND c.start < b.stop))),
-n AS (SELECT value, count(DISTINCT o) AS owners FROM a GROUP BY 1),
-u AS (SELECT a.*, owners < 3 AS live FROM a JOIN n USING (value) WHERE kind <> 'owned' OR owners < 3),
+n AS (SELECT value, count(DISTINCT o) < 3 AND count(DISTINCT p) < 6 AS live FROM a GROUP BY 1),
+u AS (SELECT a.*, live FROM a JOIN n USING (value) WHERE kind <> 'owned' OR live),
 z AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) FILTER (WHERE kind <> 'owned') AS base,
         string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans, count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied

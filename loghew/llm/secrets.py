@@ -1,15 +1,17 @@
 """Secret scans with corpus-wide ownership, in DataFrame operations only.
 
 Patterns find candidate values with their places. Each value is then counted over the
-whole corpus: by how many owners and in how many repositories it occurs. A value that
-many owners share is a copied example; one that few have looks live. Base kinds always
-count as found; of the generic kind only live-looking values do.
+whole corpus: by how many owners and in how many repositories it occurs. A value that many
+owners share, or that lies in many repositories even of few owners, is a copied example; one
+that few have in few places looks live. Base kinds always count as found; of the generic kind
+only live-looking values do.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import stored
 
@@ -21,68 +23,74 @@ BASE = {
 }
 #: Long unbroken runs with letters of both cases and digits, outside the base kinds.
 GENERIC = {"owned": (r"[A-Za-z0-9+/_-]{20,}", 0, 20)}
-SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
+FOUND = "array<struct<start:int,rank:int,kind:string,end:int,value:string,owners:bigint,repositories:bigint,live:boolean>>"
+PART = "array<struct<rank:int,kind:string,i:int,gap:int,size:int,value:string>>"
 
 
-def spans(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """(start, rank, kind, end, value) of a kind's matches, leftmost and not overlapping, in code points.
+def parts(text: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
+    """(rank, kind, i, gap, size, value) of a kind's matches in order: gap is the length of the text before one, from the one before it.
 
     The parts between matches and the matches themselves alternate, so places are sums of lengths.
     """
     re = F.lit(pattern)
     found, gaps = F.regexp_extract_all(text, re, F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, re, F.lit(group)) if group else found
-    parts = F.zip_with(found, values, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
-    parts = F.zip_with(parts, F.slice(gaps, 1, F.size(found)), lambda p, g: F.struct(p["m"].alias("m"), p["v"].alias("v"), F.length(g).alias("gap")))
-    empty = F.expr(f"cast(array() as {SPAN})")
+    both = F.zip_with(found, values, lambda m, v: F.struct(F.length(m).alias("size"), v.alias("value")))
+    both = F.zip_with(both, F.slice(gaps, 1, F.size(found)), lambda p, g: F.struct(p["size"].alias("size"), p["value"].alias("value"), F.length(g).alias("gap")))
+    own = F.transform(both, lambda p, i: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), i.alias("i"), p["gap"].alias("gap"), p["size"].alias("size"), p["value"].alias("value")))
+    return F.when(text.rlike(pattern), own).otherwise(F.expr(f"cast(array() as {PART})"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        own = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda a: a["out"])).otherwise(empty)
+def places(rows: DataFrame, least: dict[int, int], generic: int) -> DataFrame:
+    """(row, o, r, rank, kind, start, end, value) of the matches in rows' parts, in code points; generic ones that touch no base match.
+
+    Places are running sums over a text's matches, so a text with many costs no more than their sort.
+    """
+    one = rows.select("row", "o", "r", F.explode("parts").alias("x")).select("row", "o", "r", "x.*")
+    upto = W.partitionBy("row", "rank").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
+    one = one.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")).withColumn("start", F.col("end") - F.col("size"))
+    enough = F.element_at(F.create_map(*(F.lit(x) for k, n in least.items() for x in (k, n))), F.col("rank"))
+    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]")
+    base = F.col("rank") < generic
+    one = one.where((F.length("value") >= enough) & (base | mixed))
+    row = W.partitionBy("row")  # frames that grow from one side cost one step a match
+    ended = F.max(F.when(base, F.col("end"))).over(row.orderBy("start", "rank").rowsBetween(W.unboundedPreceding, -1))
+    begins = F.min(F.when(base, F.col("start"))).over(row.orderBy(F.desc("start"), F.desc("rank")).rowsBetween(W.unboundedPreceding, -1))
+    one = one.withColumn("apart", (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (F.coalesce(begins, F.col("end")) >= F.col("end")))
+    return one.where(base | F.col("apart")).select("row", "o", "r", "rank", "kind", "start", "end", "value")
 
 
 def written(s: Column) -> Column:
     return F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", copied_from: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), copied_from: int = 3, copied_in: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, found (array with value, owners, repositories, live), n_live, n_copied.
 
-    A value is live-looking when fewer than `copied_from` distinct owners hold it. The
-    columns named in `keep` are returned besides.
+    A value is live-looking when fewer than `copied_from` distinct owners hold it, in fewer
+    than `copied_in` distinct repositories. documents name no repository; a source's texts of
+    one language stand for one. The columns named in `keep` are returned besides.
 
-    Edge cases: a null text is empty; a null owner or repository counts as one of its own;
-    a null doc_id stays null; repeated rows are scanned each; an empty table gives no rows;
-    further columns are ignored. Whole texts are scanned; places are code points, ends
-    exclusive.
+    Edge cases: a null text is empty; a null owner or part of a repository's name counts as
+    one of its own; a null doc_id stays null; repeated rows are scanned each; an empty table
+    gives no rows; further columns are ignored. Whole texts are scanned; places are code
+    points, ends exclusive.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
     kinds = BASE | GENERIC
-    each = {k: spans(F.col("t"), k, i, *kinds[k]) for i, k in enumerate(kinds)}
-    rows = docs.select("doc_id", *keep, F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("o"), F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("r"), text.alias("t"))
-    rows = rows.select("doc_id", *keep, "o", "r", *(c.alias(k) for k, c in each.items()))
-    base = F.array_sort(F.concat(*BASE))
-    mixed = F.filter("owned", lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[a-z]") & x["value"].rlike("[A-Z]"))
-    rows = rows.select("doc_id", *keep, "o", "r", base.alias("base"), mixed.alias("owned"))
-    apart = F.filter("owned", lambda x: ~F.exists("base", lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    rows = rows.select("doc_id", *keep, "o", "r", "base", apart.alias("owned"), F.monotonically_increasing_id().alias("row"))
-    rows = stored(rows, "spans")
-    one = rows.where(F.size("base") + F.size("owned") > 0).select("row", "o", "r", F.explode(F.concat("base", "owned")).alias("x"))
-    one = one.withColumn("h", F.xxhash64("x.value"))
-    owners = one.groupBy("h", "o").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("owners"))
-    places = one.groupBy("h", "r").agg(F.count("*").alias("n")).groupBy("h").agg(F.count("*").alias("repositories"))
-    counts = owners.join(places, "h")
-    live = F.col("owners") < copied_from
-    item = F.struct(F.col("x.start").alias("start"), F.col("x.rank").alias("rank"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), "owners", "repositories", live.alias("live"))
-    known = one.join(counts, "h").where(live | (F.col("x.kind") != "owned")).groupBy("row").agg(F.array_sort(F.collect_list(item)).alias("found"))
-    out = rows.join(known, "row", "left")
+    rank = {k: i for i, k in enumerate(kinds)}
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select("doc_id", *keep, name(owner).alias("o"), F.concat_ws("/", *(name(c) for c in repository)).alias("r"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    every = F.concat(*(parts(F.col("t"), k, rank[k], *kinds[k]) for k in kinds))
+    rows = stored(rows.select("doc_id", *keep, "o", "r", every.alias("parts"), F.monotonically_increasing_id().alias("row")), "matches")
+    one = stored(places(rows.where(F.size("parts") > 0), {rank[k]: v[2] for k, v in kinds.items()}, len(BASE)), "places")
+    counts = one.select("value", "o", "r").distinct().groupBy("value").agg(F.count_distinct("o").alias("owners"), F.count_distinct("r").alias("repositories"))
+    live = (F.col("owners") < copied_from) & (F.col("repositories") < copied_in)
+    item = F.struct("start", "rank", "kind", "end", "value", "owners", "repositories", live.alias("live"))
+    known = one.join(counts, "value").where(live | (F.col("rank") < len(BASE))).groupBy("row").agg(F.array_sort(F.collect_list(item)).alias("found"))
+    out = rows.drop("parts").join(known, "row", "left").withColumn("found", F.coalesce("found", F.expr(f"cast(array() as {FOUND})"))).withColumn("base", F.filter("found", lambda x: x["rank"] < len(BASE)))
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    alive = F.coalesce(F.size(F.filter("found", lambda x: x["live"])), F.lit(0)).cast("long")
-    return out.select("doc_id", *keep, *(n(k) for k in BASE), F.sha2(written(F.col("base")), 256).alias("base_sha256"), F.coalesce(written(F.col("found")), F.lit("")).alias("spans"), alive.alias("n_live"), (F.coalesce(F.size("found"), F.lit(0)) - alive).cast("long").alias("n_copied"), "found")
+    alive = F.size(F.filter("found", lambda x: x["live"])).cast("long")
+    return out.select("doc_id", *keep, *(n(k) for k in BASE), F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("found")).alias("spans"), alive.alias("n_live"), (F.size("found") - alive).cast("long").alias("n_copied"), "found")
 
 
 def redact(docs: DataFrame, found: Column, mark: str = "[SECRET]") -> DataFrame:
