@@ -43,6 +43,7 @@ def targets(sizes: DataFrame, weights: list[float], share: float, most: float) -
 def fold(items: Column) -> Column:
     """One pass of pivotal rounding over an array of (doc, size, mass, u): mass in words, 0 < mass < size.
 
+    u of the second and later items decides the meetings; the first one's is not used.
     Gives (rest: the unsettled item, done: settled docs with their words).
     """
 
@@ -96,13 +97,15 @@ def mix_sources(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float
     each = F.col("size") * F.col("copies")
     item = item.select("row_key", "source", "size", "copies", "source_size", "target", (F.floor("rate") * each).cast("double").alias("whole"), each.cast("double").alias("own"), ((F.col("rate") - F.floor("rate")) * each).alias("mass"))
     item = stored(item, "items")
-    live = item.where("mass > 0 and mass < own").select("source", F.struct(F.col("row_key").alias("doc"), F.col("own").alias("size"), "mass", ((F.xxhash64("row_key", F.lit(seed)).bitwiseAND(F.lit(2**52 - 1))) / F.lit(float(2**52))).alias("u")).alias("item"))
+    live = item.where("mass > 0 and mass < own").select("source", F.struct(F.col("row_key").alias("doc"), F.col("own").alias("size"), "mass").alias("item"))
     largest = live.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     done, level, groups = [], 0, largest
     while True:
         groups = -(-groups // arity)
         slot = F.pmod(F.xxhash64("item.doc", F.lit(seed + 7 * level + 1)), F.lit(max(groups, 1)))
-        grouped = live.groupBy("source", slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("item.doc", F.lit(seed + 3)).alias("order"), "item"))).alias("items"))
+        draw = (F.xxhash64("item.doc", F.lit(seed), F.lit(-1 - level)).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))).alias("u")  # a number for each level, so that no meeting reuses one
+        fresh = F.struct("item.doc", "item.size", "item.mass", draw).alias("item")
+        grouped = live.groupBy("source", slot.alias("slot")).agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("item.doc", F.lit(seed + 3)).alias("order"), fresh))).alias("items"))
         folded = stored(grouped.select("source", fold(F.transform("items", lambda x: x["item"])).alias("f")), "pivots")
         done.append(folded.select(F.explode("f.done").alias("d")).select(F.col("d.doc").alias("row_key"), "d.words"))
         live = folded.select("source", F.col("f.rest").alias("item"))
@@ -118,6 +121,6 @@ def mix_sources(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float
     out = rows.join(settled, "row_key")
     if again.isEmpty():
         return out.drop("copies")
-    n = F.row_number().over(W.partitionBy("row_key").orderBy("row_key"))
+    n = F.row_number().over(W.partitionBy("row_key").orderBy(F.to_json(F.struct(*docs.columns))))  # what further columns tell apart is told apart alike in every run
     base, extra = F.floor(F.col("taken") / F.col("copies")), F.pmod(F.col("taken"), F.col("copies"))
     return out.withColumn("taken", F.when(F.col("copies") == 1, F.col("taken")).otherwise(base + F.when(n <= extra, 1).otherwise(0)).cast("long")).drop("copies")
