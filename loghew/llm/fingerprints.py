@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, keyed, shards, small_batches
+from .common import NULL_ID, keyed, shards, small_batches, stored
 from .kernels import MULTIPLIERS, U, Words, mix, slices
 
 EMPTY = np.uint64(2**64 - 1)
@@ -53,74 +54,92 @@ def likeness(a: np.ndarray, b: np.ndarray, empty_a: np.ndarray, empty_b: np.ndar
     return np.where(empty_a | empty_b, (empty_a & empty_b).astype(float), out)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, halo, did, text): documents in order of id within buckets of neighbouring ids.
-
-    After a bucket's last document comes, as halo, the first one of the next bucket (after
-    the last bucket the very first), so that every document has its successor beside it.
-    Texts are shuffled once; the bounds are quantiles of the ids, one a partition.
-    """
-    rows = keyed(docs)
-    n = shards(docs, 16)
-    bounds = rows.agg(F.percentile_approx("did", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds[: n - 1]))
-    bucket = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: b <= F.col("did"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket)
-    firsts = sorted((r["bucket"], r["f"]["did"], r["f"]["th"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("did", "th")).alias("f")).collect())  # one row a bucket
-    if not firsts:
-        return rows.select("bucket", F.lit(0).alias("halo"), "did", "text")
-    heads = docs.sparkSession.createDataFrame([(d, t, firsts[i - 1][0]) for i, (_, d, t) in enumerate(firsts)], "did long, th long, before int")
-    rows = rows.join(F.broadcast(heads), ["did", "th"], "left")
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("halo"))
-    rows = rows.withColumn("p", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("before").alias("bucket"), F.lit(1).alias("halo"))))))
-    return rows.select("p.bucket", "p.halo", "did", "th", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "halo", "did", "th").select("bucket", "halo", "did", "text")
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT_TYPE = [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+EDGE = "did long, th long, tie long, text string, waits boolean"
+EDGE_TYPE = [("did", pa.int64()), ("th", pa.int64()), ("tie", pa.int64()), ("text", pa.string()), ("waits", pa.bool_())]
+TYPE = pa.schema([*RESULT_TYPE, *EDGE_TYPE])
+
+
+def blank(texts: list[str]) -> np.ndarray:
+    return np.array([not t.strip(" \t\n\v\f\r") for t in texts], bool)
+
+
+def described(ids: list[int], texts: list[str], following: list[str], k: int, bins: int, bits: int, edit: int) -> pa.RecordBatch:
+    """The result rows of texts, given the text after each."""
+    cuts = [len(t) // edit for t in texts]
+    edited = [t[: len(t) - c] + f[:c] for t, f, c in zip(texts, following, cuts)]
+    every = texts + [f for i, f in enumerate(following) if i + 1 == len(texts) or f is not texts[i + 1]]
+    place, at = [], len(texts)
+    for i, f in enumerate(following):
+        if i + 1 < len(texts) and f is texts[i + 1]:
+            place.append(i + 1)
+        else:
+            place.append(at)
+            at += 1
+    own, of_edited = sketch(pa.array(every, pa.string()), k, bins, bits), sketch(pa.array(edited, pa.string()), k, bins, bits)
+    none, none_e, n = blank(every), blank(edited), len(texts)
+    after = np.array(place)
+    fields = [
+        pa.array([None if d == NULL_ID else d for d in ids], pa.int64()),
+        pa.array([len(t) for t in texts], pa.int64()),
+        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
+        pa.array(["" if none[i] else own[i].tobytes().hex() for i in range(n)]),
+        pa.array(["" if none_e[i] else of_edited[i].tobytes().hex() for i in range(n)]),
+        pa.array(likeness(own[:n], of_edited, none[:n], none_e, bins, bits)),
+        pa.array(likeness(own[:n], own[after], none[:n], none[after], bins, bits)),
+    ]
+    return pa.RecordBatch.from_arrays([*fields, *(pa.nulls(n, t) for _, t in EDGE_TYPE)], schema=TYPE)
 
 
 def fingerprint(docs: DataFrame, k: int = 5, bins: int = 256, bits: int = 4, edit: int = 4) -> DataFrame:
     """doc_id, n_chars, fingerprints of each text and of its edited text, likeness to that and to the next text.
 
     The edited text's last floor(n_chars / edit) code points are the first as many of the
-    next document by doc_id (after the last: the first).
+    next document by doc_id (after the last: the first). Documents are dealt by ranges of
+    their ids; inside a range each has its successor beside it. A range's first and last
+    document go on to the next level, where they are dealt by ranges again, until one range
+    is left, whose last document is followed by its first.
 
     Edge cases: null texts are empty; texts without words have an empty fingerprint, alike
     to each other (1) and to no other (0); a null doc_id sorts first and stays null; rows
-    that share a doc_id are ordered by a hash of the text; a lone document is its own next;
-    an empty table gives no rows; further columns are ignored.
+    that share a doc_id are ordered by a hash of the text, and rows equal in both follow each
+    other; a lone document is its own next; an empty table gives no rows; further columns
+    are ignored.
     """
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-
-    def run(batches):
-        held = None
-        for batch in slices(batches, "text", 1 << 19):
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "halo", "did", "text"))))
-            if held:
-                rows.insert(0, held)
-            held = rows[-1]
-            texts = [r[3] for r in rows]
-            at = [i for i in range(len(rows) - 1) if not rows[i][1] and rows[i][0] == rows[i + 1][0]]
-            if not at:
-                continue
-            edited = []
-            for i in at:
-                cut = len(texts[i]) // edit
-                edited.append(texts[i][: len(texts[i]) - cut] + texts[i + 1][:cut])
-            column, column_e = pa.array(texts, pa.string()), pa.array(edited, pa.string())
-            own, of_edited = sketch(column, k, bins, bits), sketch(column_e, k, bins, bits)
-            none = np.array([not t.strip(" \t\n\v\f\r") for t in texts])
-            none_e = np.array([not t.strip(" \t\n\v\f\r") for t in edited])
-            i = np.array(at)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([None if rows[j][2] == NULL_ID else rows[j][2] for j in at], pa.int64()),
-                    pa.array([len(texts[j]) for j in at], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
-                    pa.array(["" if none[j] else own[j].tobytes().hex() for j in at]),
-                    pa.array(["" if none_e[j] else of_edited[j].tobytes().hex() for j in range(len(at))]),
-                    pa.array(likeness(own[i], of_edited, none[i], none_e, bins, bits)),
-                    pa.array(likeness(own[i], own[i + 1], none[i], none[i + 1], bins, bits)),
-                ],
-                schema=schema,
-            )
-
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+    def level(alone: bool):
+        def run(batches):
+            first = last = None  # rows (did, th, tie, text, waits); the last one's successor is not seen yet
+            for batch in slices(batches, "text", 1 << 19):
+                rows = list(zip(*(batch.column(c).to_pylist() for c, _ in EDGE_TYPE)))
+                first = first or rows[0]
+                if last:
+                    rows.insert(0, last)
+                last = rows[-1]
+                at = [i for i in range(len(rows) - 1) if rows[i][4]]
+                if at:
+                    yield described([rows[i][0] for i in at], [rows[i][3] for i in at], [rows[i + 1][3] for i in at], k, bins, bits, edit)
+            if alone:
+                if last and last[4]:
+                    yield described([last[0]], [last[3]], [first[3]], k, bins, bits, edit)
+            elif last:
+                edges = [last] if first[:3] == last[:3] else [(*first[:4], False), last]
+                fields = [pa.array(c, t) for c, (_, t) in zip(zip(*edges), EDGE_TYPE)]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(edges), t) for _, t in RESULT_TYPE), *fields], schema=TYPE)
+
+        return run
+
+    names = [c for c, _ in RESULT_TYPE]
+    rows = keyed(docs).select("did", "th", F.monotonically_increasing_id().alias("tie"), "text", F.lit(True).alias("waits"))
+    parts, done = shards(docs, 16), []
+    while True:
+        dealt = rows.repartitionByRange(parts, "did", "th", "tie") if parts > 1 else rows.repartition(1)
+        got = dealt.sortWithinPartitions("did", "th", "tie").mapInArrow(level(parts == 1), f"{RESULT}, {EDGE}")
+        if parts == 1:
+            done.append(got.select(*names))
+            return reduce(DataFrame.unionByName, done)
+        got = stored(got, "fingerprints")
+        done.append(got.where("waits is null").select(*names))
+        rows, parts = got.where("waits is not null").select(*(c for c, _ in EDGE_TYPE)), -(-parts // 256)
