@@ -8,8 +8,10 @@ link is then confirmed on the full shingle sets.
 Equal sets collapse to one representative first. Small buckets are compared whole. The
 larger ones form families: all buckets around one hub, the member that meets most others.
 Every member meets the hub; then the members outside the family's greatest component meet
-all of the family that lies in another component. Both run on full sets, block by block, and
-only links that join two components leave a block, so rows never grow with a group's square.
+all of the family that lies in another component, block by block: the odd sketches screen a
+block's meetings, full sets confirm what is left, and only links that join two components
+leave it. A block's rows are sent once for each block it meets, so rows grow with a family's
+size times its number of blocks (of some thousand documents), not with its pairs.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, components, keyed, shards, small_batches, stored, unique_ids
-from .kernels import MULTIPLIERS, U, Words, mix, sets, slices
+from .kernels import MULTIPLIERS, U, Words, mix, segments, sets, slices
 
 SAMPLES, BANDS, ROWS, BITS = 128, 24, 4, 512
 #: Buckets up to this size are compared whole.
 SMALL = 16
 #: Shingles a block of a family's members, or of the members that ask, holds on average.
-MEMBERS, ASKING = 1 << 21, 1 << 19
+MEMBERS, ASKING = 1 << 21, 1 << 21
 CHUNK = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(77))
 FLIP = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
@@ -137,11 +139,13 @@ def small_pairs(rows: DataFrame, parts: int) -> DataFrame:
 def compared(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between asking members and members of other components, on full sets.
 
-    rows: (hub, did, component, n, asks, full). A family is dealt into blocks by the number of
+    rows: (hub, did, component, n, asks, full, sketch columns). A family is dealt into blocks by the number of
     its shingles; each block of asking members meets each block of members. Within a meeting
     a link joins two components, and later links between the two are left out.
     """
     size = F.sum("n")
+    names = [f"o{i}" for i in range(LONGS)]
+    most = farthest(percent)
     blocks = rows.groupBy("hub").agg(F.ceil(size / MEMBERS).cast("int").alias("mblocks"), F.ceil(F.coalesce(F.sum(F.when(F.col("asks"), F.col("n"))), F.lit(0)) / ASKING).cast("int").alias("qblocks"))
     own = F.xxhash64("did")
     spread = lambda count, block: F.transform(F.sequence(F.lit(0), F.col(count) - 1), block)
@@ -149,25 +153,29 @@ def compared(rows: DataFrame, percent: int) -> DataFrame:
     as_member = spread("qblocks", lambda i: block(F.pmod(own, F.col("mblocks")), i, False))
     as_asking = F.when(F.col("asks"), spread("mblocks", lambda i: block(i, F.pmod(own, F.col("qblocks")), True)))
     dealt = rows.join(blocks.where("qblocks > 0"), "hub")
-    dealt = dealt.withColumn("to", F.explode(F.when(F.col("asks"), F.concat(as_member, as_asking)).otherwise(as_member))).select("hub", "to.*", "did", "component", "n", "full")
+    dealt = dealt.withColumn("to", F.explode(F.when(F.col("asks"), F.concat(as_member, as_asking)).otherwise(as_member))).select("hub", "to.*", "did", "component", "n", "full", *names)
 
     def meet(t: pa.Table) -> pa.Table:
         asks = np.asarray(t.column("asking").combine_chunks().cast(pa.int8())).astype(bool)
         t = t.take(pa.array(np.argsort(asks, kind="stable")))  # members first
         did, n, label = (np.asarray(t.column(c)).astype(np.int64) for c in ("did", "n", "component"))
         full = np.frombuffer(b"".join(t.column("full").to_pylist()), np.uint64)
-        names, place = np.unique(full, return_inverse=True)
         off = np.concatenate([[0], np.cumsum(n)])
         m = int((~asks).sum())
-        held, size, mark = place[: off[m]], n[:m], np.zeros(len(names), np.int32)
+        size = n[:m]
+        odd = np.stack([np.asarray(t.column(c)).astype(np.int64).view(np.uint64) for c in names])
         _, comp = np.unique(label, return_inverse=True)
         a, b = [], []
         for q in range(m, len(did)) if m else ():
-            own = place[off[q] : off[q + 1]]
-            mark[own] = 1
-            same = np.add.reduceat(mark[held], off[:m])
-            mark[own] = 0
-            ok = np.flatnonzero((100 * same.astype(np.int64) >= percent * (size + n[q] - same)) & (comp[:m] != comp[q]))
+            fit = (100 * size >= percent * n[q]) & (100 * n[q] >= percent * size) & (comp[:m] != comp[q])
+            near = np.flatnonzero(fit)
+            near = near[np.bitwise_count(odd[:, near] ^ odd[:, q : q + 1]).sum(axis=0) <= most]
+            ok = np.zeros(0, np.int64)
+            if len(near):  # confirmed on full sets: how many of each one's shingles the asking one holds
+                own, held = full[off[q] : off[q + 1]], full[segments(off[near], size[near])]
+                at = np.minimum(np.searchsorted(own, held), len(own) - 1)
+                same = np.add.reduceat(own[at] == held, np.cumsum(size[near]) - size[near], dtype=np.int64)
+                ok = near[100 * same >= percent * (size[near] + n[q] - same)]
             if len(ok):
                 other, first = np.unique(comp[ok], return_index=True)
                 a.append(np.full(len(first), did[q]))
@@ -257,7 +265,7 @@ def near_nodes(docs: DataFrame, unique: bool, k: int = 5, percent: int = 80) ->
     texts = stored(whole.hint("merge").join(used, "did"), "texts")
     links = stored(confirmed(pairs, texts.where("paired").select("did", "text"), k, percent), "links")
     full = full_sets(texts.where("large"), k).withColumn("same", F.xxhash64("full")).dropDuplicates(["did", "same"]).drop("same")
-    full = stored(full, "full")
+    full = stored(full.join(sketch.select("did", *names), "did"), "full")
     stars = family.select("hub", "did", F.col("did").alias("component"), (F.col("did") == F.col("hub")).alias("asks")).join(full, "did")
     links = links.union(stored(compared(stars, percent), "links"))
     groups = components(links)
