@@ -55,6 +55,25 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def gradients(net: Net, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """(mean cross-entropy, its gradients in the order tables by width, bias, dense, out); a maximum passes its gradient to its place alone."""
+    n = len(x)
+    z, p, at = forward(net, x, places=True)
+    d = softmax(z)
+    loss = -float(np.log(d[np.arange(n), y]).mean())
+    d[np.arange(n), y] -= 1
+    d /= n
+    dp = (d @ net.dense.T) * (p > 0)
+    grads = []
+    for i, w in enumerate(WIDTHS):
+        g = np.zeros_like(net.tables[w])
+        part = dp[:, i * FILTERS : (i + 1) * FILTERS]
+        for j in range(w):
+            np.add.at(g[j], (x[np.arange(n)[:, None], at[i] + j], np.arange(FILTERS)[None, :]), part)
+        grads.append(g)
+    return loss, [*grads, dp.sum(axis=0), np.maximum(p, 0).T @ d, d.sum(axis=0)]
+
+
 def train(x: np.ndarray, y: np.ndarray, labels: list[str], steps: int = 700, batch: int = 64, rate: float = 0.01, seed: int = 3) -> Net:
     """Adam on cross-entropy, with classes drawn evenly; the same data gives the same net."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -65,20 +84,7 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], steps: int = 700, bat
     by = [np.flatnonzero(y == c) for c in range(k)]
     for step in range(1, steps + 1):
         rows = np.concatenate([rng.choice(r, max(1, batch // k)) for r in by])
-        xb, n = x[rows], len(rows)
-        z, p, at = forward(net, xb, places=True)
-        d = softmax(z)
-        d[np.arange(n), y[rows]] -= 1
-        d /= n
-        dp = (d @ net.dense.T) * (p > 0)
-        grads = []
-        for i, w in enumerate(WIDTHS):
-            g = np.zeros_like(net.tables[w])
-            part = dp[:, i * FILTERS : (i + 1) * FILTERS]
-            for j in range(w):
-                np.add.at(g[j], (xb[np.arange(n)[:, None], at[i] + j], np.arange(FILTERS)[None, :]), part)
-            grads.append(g)
-        grads += [dp.sum(axis=0), np.maximum(p, 0).T @ d, d.sum(axis=0)]
+        _, grads = gradients(net, x[rows], y[rows])
         for q, g, a, b in zip(params, grads, first, second):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
