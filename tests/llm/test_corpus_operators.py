@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -306,3 +307,214 @@ def test_html_repeated_rows_and_clashing_columns(spark):
     assert sorted(r.text for r in got) == ["", main_text(PAGE), main_text(PAGE)]
     long = "<article>" + "<p>the story of it and more</p>" * 30_000 + "</article>"
     assert main_text(long).count("the story") == 30_000
+
+
+def test_secrets_of_many_repositories(spark):
+    """One owner, but seven repositories: copied. The same value in two is live."""
+    far, near = "Ab3" + "xY7" * 8, "Qr5" + "zT2" * 8
+    rows = [(i, f"key {far} end", f"l{i}", "a") for i in range(7)] + [(10 + i, f"key {near} end", f"l{i}", "a") for i in range(2)]
+    got = {r.doc_id: r for r in find_secrets(table(spark, rows)).collect()}
+    assert all(got[i].spans == "" for i in range(7)) and all(got[10 + i].spans.startswith("owned:4:") and got[10 + i].found[0].repositories == 2 for i in range(2))
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    n = 60_000
+    text = " ".join(f"é token=v{i:08d}" for i in range(n))
+    began = time.time()
+    got = find_secrets(table(spark, [(1, text, "en", "a")])).select("n_assign", "base_sha256").first()
+    want = ",".join(f"assign:{m.start()}:{m.end()}" for m in re.finditer(r"token=v\d{8}", text))
+    assert (got.n_assign, got.base_sha256) == (n, hashlib.sha256(want.encode()).hexdigest()) and time.time() - began < 60
+
+
+def test_pivots_keep_expectations(spark):
+    """Each of eight unequal items is settled at its words' share within four standard errors; the rest carries the others' mass."""
+    from pyspark.sql import functions as F
+
+    from loghew.llm.mixing import fold
+
+    draws, rate, sizes = 20_000, 0.3, [3.0, 5.0, 8.0, 8.0, 13.0, 2.0, 9.0, 8.0]
+    items = F.array(*(F.struct(F.lit(i).cast("long").alias("doc"), F.lit(s).alias("size"), F.lit(rate * s).alias("mass"), F.rand(40 + i).alias("u")) for i, s in enumerate(sizes)))
+    folded = spark.range(draws).select(fold(items).alias("f"))
+    words = folded.select(F.explode("f.done").alias("d")).select("d.doc", "d.words").union(folded.select("f.rest.doc", "f.rest.mass"))
+    for r in words.groupBy("doc").agg(F.sum(F.col("words")).alias("w"), F.sum(F.col("words") ** 2).alias("w2")).collect():
+        mean, want = r.w / draws, rate * sizes[r.doc]
+        assert abs(mean - want) <= 4 * ((r.w2 / draws - mean**2) / draws) ** 0.5
+    total = words.agg(F.sum("words")).first()[0]
+    assert abs(total - draws * rate * sum(sizes)) < 1e-6 * total
+
+
+def test_mixing_of_equal_rows_reruns(spark):
+    rows = [(i % 7, "one two three four", "en", "a") for i in range(40)]
+    docs = table(spark, rows).selectExpr("*", "monotonically_increasing_id() as extra")
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    a, b = ({(r.extra, r.taken) for r in mix_sources(docs.repartition(n)).collect()} for n in (1, 4))
+    assert a == b and len(a) == 40
+
+
+def scalar_fingerprint(text, k=5, bins=256):
+    """{bin: value} before densification, of one text, one shingle at a time."""
+    from loghew.llm.kernels import MULTIPLIERS, U, Words, mix
+
+    out = {}
+    for h in Words(pa.array([text]), lower=True).shingles(k)[0]:
+        low = int(mix(np.array([h * MULTIPLIERS[100]], np.uint64))[0] >> U(1))
+        b = int(h >> U(32)) & (bins - 1)
+        out[b] = min(out.get(b, low), low)
+    return out
+
+
+def test_fingerprints_against_a_scalar_version():
+    from loghew.llm.fingerprints import likeness, sketch
+    from loghew.llm.kernels import MULTIPLIERS, U, mix
+
+    texts = [prose(i, n) for i, n in enumerate((6, 40, 200, 900))]
+    got = sketch(pa.array(texts), 5, 256, 4)
+    for row, text in zip(got, texts):
+        held, codes = scalar_fingerprint(text), []
+        for b in range(256):
+            at, attempt = b, 0
+            while at not in held:  # the first nonempty bin on this bin's walk
+                attempt += 1
+                at = int(mix(np.array([(b + 1) * int(MULTIPLIERS[101]) + attempt * int(MULTIPLIERS[102]) & 2**64 - 1], np.uint64))[0] % U(256))
+            codes.append(int(mix(np.array([held[at]], np.uint64))[0]) & 15)
+        assert row.tolist() == [codes[i] << 4 | codes[i + 1] for i in range(0, 256, 2)]
+    rnd, off = random.Random(4), []
+    for share in (0.0, 0.1, 0.3, 0.6, 1.0):
+        a = [f"w{rnd.random()}" for _ in range(800)]
+        b = a[: int(800 * (1 - share))] + [f"x{rnd.random()}" for _ in range(800 - int(800 * (1 - share)))]
+        x, y = ({tuple(w[i : i + 5]) for i in range(796)} for w in (a, b))
+        s = sketch(pa.array([" ".join(a), " ".join(b)]), 5, 256, 4)
+        none = np.array([False])
+        off.append(abs(likeness(s[:1], s[1:], none, none, 256, 4)[0] - len(x & y) / len(x | y)))
+    assert max(off) < 0.13 and off[0] == 0  # four standard errors of 256 bins
+
+
+def test_fingerprints_across_many_ranges(spark):
+    rows = [(i * 3 % 101, prose(i, 20 + i % 13), "en", "a") for i in range(101)] + [(200, prose(9, 30), "en", "a")] * 5
+    one = fingerprint(table(spark, rows).coalesce(1)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    many = fingerprint(table(spark, rows)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many)) and len(many) == len(rows)
+    order = sorted(rows)
+    text = {d: (t, order[(i + 1) % len(order)][1]) for i, (d, t, *_) in enumerate(order)}
+    for r in many:
+        t, nxt = text[r.doc_id]
+        cut = len(t) // 4
+        if r.doc_id != 200:
+            assert r.edited_sha256 == hashlib.sha256((t[: len(t) - cut] + nxt[:cut]).encode()).hexdigest()
+
+
+def bits(*codes):
+    s = "".join(codes)
+    s += "1" * (-len(s) % 8)
+    return bytes(int(s[i : i + 8], 2) for i in range(0, len(s), 8)).replace(b"\xff", b"\xff\0")
+
+
+def colour_jpeg(grey, width, height, interleaved=True):
+    """4:2:0, flat blocks: grey is the luminance of each block, (down, across), in whole MCUs; categories 0 to 11 have four-bit codes."""
+    dc = bytes([0x00, 0, 0, 0, 12, *[0] * 12, *range(12)])
+    ac = bytes([0x10, 1, *[0] * 15, 0x00])
+
+    def block(value, before):
+        d = value - before
+        size = abs(d).bit_length()
+        return f"{size:04b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "") + "0"
+
+    down, across = grey.shape
+    codes, last = [], 0
+    order = [(y + j, x + i) for y in range(0, down, 2) for x in range(0, across, 2) for j in range(2) for i in range(2)] if interleaved else [(y, x) for y in range(-(-height // 8)) for x in range(-(-width // 8))]
+    for n, (y, x) in enumerate(order):
+        value = int(grey[y, x]) - 128
+        codes.append(block(value, last))
+        last = value
+        if interleaved and n % 4 == 3:
+            codes += [block(0, 0)] * 2
+    s = jpeg.segment
+    head = b"\xff\xd8" + s(0xE0, b"JFIF\0") + s(0xDB, b"\0" + bytes([8]) + b"\1" * 63) + s(0xC0, b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + b"\3\1\x22\0\2\x11\0\3\x11\0") + s(0xC4, dc) + s(0xC4, ac)
+    if interleaved:
+        return head + s(0xDA, b"\3\1\0\2\0\3\0\0\x3f\0") + bits(*codes) + b"\xff\xd9"
+    n = -(-(-(-width // 2)) // 8) * -(-(-(-height // 2)) // 8)
+    chroma = s(0xDA, b"\1\2\0\0\x3f\0") + bits(*[block(0, 0)] * n)
+    return head + chroma + s(0xDA, b"\1\1\0\0\x3f\0") + bits(*codes) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize("interleaved", [True, False])
+def test_jpeg_of_three_components(interleaved):
+    rnd = np.random.Generator(np.random.PCG64(2))
+    grey = rnd.integers(0, 256, (4, 6)).astype(np.uint8)
+    image, blocks = jpeg.decode([colour_jpeg(grey, 41, 30, interleaved)])[0]
+    assert (image.width, image.height) == (41, 30) and jpeg.payload(image, blocks) is None
+    assert jpeg.thumbnail(image, blocks).tolist() == grey.tolist()
+
+
+def test_damaged_media(spark):
+    rnd = np.random.Generator(np.random.PCG64(3))
+    whole = jpeg.encode(rnd.integers(0, 256, 64 * 9, dtype=np.uint8))
+    cuts = [whole[:n] for n in (0, 1, 30, 60, 120, len(whole) - 30, len(whole) - 8, len(whole) - 2)]
+    bent = [bytes([*whole[:i], whole[i] ^ 0xFF, *whole[i + 1 :]]) for i in (2, 25, 100, 110, 150, 170)]
+    files = [whole, *cuts, *bent, None, whole, colour_jpeg(np.full((2, 2), 9, np.uint8), 16, 16)]
+    rows = spark.createDataFrame([(i, 1, f) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in jpeg.read_media(rows).collect()}
+    assert len(got) == len(files)
+    fine = {0, len(files) - 2, len(files) - 1}
+    for i, f in enumerate(files):
+        r = got[i]
+        if f is None:
+            assert r.error is None and r.payload is None
+        elif i in fine:
+            assert r.error is None and r.feature and (r.payload is None) == (i == len(files) - 1)
+        elif i <= len(cuts):
+            assert r.error and r.payload is None and r.feature is None
+
+
+def test_media_digests_of_texts(spark):
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, "x" * 64, "en", "a"), (4, "é🙂" * 50, "en", "a"), (5, "a" * 5000, "en", "a"), (6, "é🙂" * 50, "en", "a")]
+    got = {r.doc_id: r for r in jpeg.media_digests(table(spark, rows)).collect()}
+    for d, t, *_ in rows:
+        own = (t or "").encode()
+        held = own + b"\0" * (max(64, -(-len(own) // 64) * 64) - len(own))
+        r = got[d]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(own), len(held), hashlib.sha256(held).hexdigest(), zlib.crc32(held[-64:]))
+        media = jpeg.encode(np.frombuffer(held, np.uint8))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+    assert got[4].feature == got[6].feature and got[1].feature == got[2].feature != got[5].feature
+
+
+def test_sketches_screen_large_mixed_buckets(spark, monkeypatch):
+    """One shared band, unlike documents and a few copies: every link is found, and no block's rows grow with its pairs."""
+    monkeypatch.setattr("loghew.llm.near_dedup.BANDS", 1)
+    monkeypatch.setattr("loghew.llm.near_dedup.ROWS", 1)
+    monkeypatch.setattr("loghew.llm.near_dedup.SMALL", 2)
+    rnd = random.Random(3)
+    head = [f"h{i}" for i in range(30)]
+    rows = [(i, " ".join(head + [f"x{rnd.random()}" for _ in range(20)])) for i in range(200)]
+    rows += [(500 + i, t + f" z{i}") for i, t in rows[:40]]
+    got = near_groups(table(spark, [(d, t, "en", "a") for d, t in rows]), 3, 85).collect()
+    want = jaccard_groups(rows, 3, 85)
+    same = sum(want[r.doc_id] == r.component_id for r in got)
+    assert all(r.component_id in (r.doc_id, want[r.doc_id]) for r in got) and same >= 0.6 * len(got)  # one band of one row misses some by itself
+
+
+def test_language_shortcut_and_gradients():
+    """Fast is the network it abbreviates, and the gradients are those of the loss."""
+    from loghew.llm import language
+
+    rnd = np.random.Generator(np.random.PCG64(5))
+    x = rnd.integers(0, 256, (90, language.WINDOW), dtype=np.uint8)
+    y = rnd.integers(0, 3, 90)
+    net = language.train(x, y, ["a", "b", "c"], steps=20)
+    assert np.allclose(language.Fast(net).logits(x), language.forward(net, x)[0], atol=1e-4)
+    net.tables = {w: t.astype(np.float64) for w, t in net.tables.items()}
+    net.bias, net.dense, net.out = (v.astype(np.float64) for v in (net.bias, net.dense, net.out))
+    params = [*(net.tables[w] for w in language.WIDTHS), net.bias, net.dense, net.out]
+    grads = language.gradients(net, x, y)[1]
+    for p, g in zip(params, grads):
+        for i in np.argsort(-np.abs(g).ravel())[:4]:
+            held, eps = p.flat[i], 1e-6
+            p.flat[i] = held + eps
+            up = language.gradients(net, x, y)[0]
+            p.flat[i] = held - eps
+            down = language.gradients(net, x, y)[0]
+            p.flat[i] = held
+            assert abs((up - down) / (2 * eps) - g.flat[i]) < 1e-3 * max(1e-2, abs(g.flat[i]))
