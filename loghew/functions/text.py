@@ -106,8 +106,10 @@ def dropped_places(items: Column, places: list[int]) -> Column:
 
 
 def register(spark) -> None:
-    """weighted_hamming(a, b), tree_similarity(t, line) and pair_template(a, b) on token arrays, as SQL functions without Python."""
+    """weighted_hamming(a, b), tree_similarity(t, line) and pair_template(a, b) on token arrays, and generalize_word(w), as SQL functions without Python."""
+    signs = SIGNS.replace("\\", "\\\\")
     for name, body in {
+        "generalize_word(w STRING) RETURNS STRING": rf"if(length(regexp_replace(w, '[^\\p{{L}}]', '')) = 1 or length(regexp_replace(w, '[^\\p{{Nd}}]', '')) = 1 or w rlike '^[\\p{{Nd}}{signs}]*$', '*', w)",
         "pair_template(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS ARRAY<STRING>": "zip_with(a, b, (x, y) -> if(x = y, x, '*'))",
         "tree_similarity(t ARRAY<STRING>, line ARRAY<STRING>) RETURNS DOUBLE": "size(filter(zip_with(t, line, (x, y) -> coalesce(x = y and x <> '*', false)), z -> z)) / size(t)",
         "weighted_hamming(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE": "if(size(a) = 0, 0.0D, bround(aggregate(transform(zip_with(a, b, (x, y) -> coalesce(x = y, false)), (h, i) -> if(h, size(a) - i, 0)), 0, (s, x) -> s + x) * 1.0D / (size(a) * (size(a) + 1) / 2), 3))",

@@ -43,13 +43,17 @@ def unique_events(parsed: DataFrame, *keys: str) -> DataFrame:
     return got.select(*keys, (F.row_number().over(by) - 1).cast("long").alias("event_id"), "message", message_length("message").alias("message_length"), "first_line", "members")
 
 
-def asterisk(rows: DataFrame, keys: list[str], items: str, out: str = "template") -> DataFrame:
+def asterisk(rows: DataFrame, keys: list[str], items: str, out: str = "template", repeated: bool = False) -> DataFrame:
     """keys, template, n_rows: place by place the common token or '*', as long as the shortest row.
 
     Token places are aggregated with partial aggregation, so a group of any size needs two
-    values a place.
+    values a place. repeated: rows mostly repeat, so that equal ones are counted first.
     """
+    if repeated:
+        rows = rows.groupBy(*keys, items).agg(F.count("*").alias("times"))
+        counted = rows.groupBy(*keys).agg(F.min(F.size(items)).alias("n"), F.sum("times").alias("n_rows"))
     sized = rows.groupBy(*keys).agg(F.min(F.size(items)).alias("n"), F.count("*").alias("n_rows"))
+    sized = counted if repeated else sized
     places = rows.select(*keys, F.posexplode(items).alias("pos", "tok")).groupBy(*keys, "pos").agg(F.min("tok").alias("lo"), F.max("tok").alias("hi"))
     word = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit("*"))
     lines = places.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", word.alias("t")))).alias("x"))
@@ -63,12 +67,21 @@ def asterisk(rows: DataFrame, keys: list[str], items: str, out: str = "template"
 
 
 def final_abstractions(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_entity, abstraction_id, abstraction, log_ids: clusters split by their number of entity tokens, entity template, then message template."""
+    """keys, n_entity, abstraction_id, abstraction, n_lines, first_line: clusters split by their number of entity tokens, entity template, then message template.
+
+    The lines of an abstraction are rows of assigned(), however many.
+    """
     rows = lines.withColumn("n_entity", F.size("entity_tokens")).withColumn("words", F.split("message", " "))
     by = [*keys, "n_entity"]
     left = asterisk(rows, by, "entity_tokens", "entity").drop("n_rows")
-    right = asterisk(rows, by, "words", "said").drop("n_rows")
-    ids = rows.groupBy(*by).agg(F.min("line_id").alias("first_line"), F.sort_array(F.collect_list("line_id")).alias("log_ids"))
+    right = asterisk(rows, by, "words", "said", repeated=True).drop("n_rows")
+    ids = rows.groupBy(*by).agg(F.min("line_id").alias("first_line"), F.count("*").alias("n_lines"))
     out = ids.join(left, by).join(right, by)
     number = F.row_number().over(W.orderBy("first_line")) - 1  # one row a template
-    return out.select(*by, number.cast("long").alias("abstraction_id"), F.concat_ws(" ", "entity", "said").alias("abstraction"), "log_ids")
+    return out.select(*by, number.cast("long").alias("abstraction_id"), F.concat_ws(" ", "entity", "said").alias("abstraction"), "n_lines", "first_line")
+
+
+def assigned(lines: DataFrame, abstractions: DataFrame, keys: list[str]) -> DataFrame:
+    """(line_id, abstraction_id) of every line of final_abstractions(lines, keys)."""
+    rows = lines.select("line_id", *keys, F.size("entity_tokens").alias("n_entity"))
+    return rows.join(abstractions.select(*keys, "n_entity", "abstraction_id"), [*keys, "n_entity"]).select("line_id", "abstraction_id")

@@ -4,8 +4,19 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Lets checkpoint() write to the cluster's shared folder; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = sc.getConf().get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="loghew-"))
 
 
 def similarity_edges(events: DataFrame, *keys: str) -> DataFrame:
@@ -60,9 +71,7 @@ def clusters(events: DataFrame, edges: DataFrame, least: float = 0.75) -> DataFr
     Labels only fall: every round takes the least label around and then the label's own
     label; each round is checkpointed, so the plan stays short.
     """
-    spark = events.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loghew-"))
+    checkpoints(events.sparkSession)
     e = threshold(edges, least)
     both = e.select("src", "dst").union(e.select("dst", "src")).checkpoint()
     labels = events.select("event_id", F.col("event_id").alias("cluster")).checkpoint()
@@ -82,3 +91,53 @@ def triangles(edges: DataFrame) -> DataFrame:
     bc = edges.select("message_length", F.col("src").alias("b"), F.col("dst").alias("c"), F.col("weight").alias("wbc"))
     ac = edges.select("message_length", F.col("src").alias("a"), F.col("dst").alias("c"), F.col("weight").alias("wac"))
     return ab.join(bc, ["message_length", "b"]).join(ac, ["message_length", "a", "c"]).select("message_length", "a", "b", "c", F.least("wab", "wbc", "wac").alias("weakest"))
+
+
+def weakest_sides(edges: DataFrame) -> DataFrame:
+    """Edges without the weakest side (ties by src, dst) of every triangle; a stronger one stays wherever a weaker side goes.
+
+    All triangles are judged at once on the given edges, so the result does not hang on an
+    order of vertices, and no triangle is left whole.
+    """
+    sides = lambda p, q, w: F.struct(F.col(w).alias("weight"), F.col(p).alias("src"), F.col(q).alias("dst"))
+    ab = edges.select("message_length", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("wab"))
+    bc = edges.select("message_length", F.col("src").alias("b"), F.col("dst").alias("c"), F.col("weight").alias("wbc"))
+    ac = edges.select("message_length", F.col("src").alias("a"), F.col("dst").alias("c"), F.col("weight").alias("wac"))
+    found = ab.join(bc, ["message_length", "b"]).join(ac, ["message_length", "a", "c"])
+    weak = found.select("message_length", F.least(sides("a", "b", "wab"), sides("b", "c", "wbc"), sides("a", "c", "wac")).alias("e")).select("message_length", "e.src", "e.dst").distinct()
+    return edges.join(weak, ["message_length", "src", "dst"], "left_anti")
+
+
+def pruned(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """weakest_sides(), again while over `most` edges are left and triangles still go."""
+    checkpoints(edges.sparkSession)
+    n = edges.count()
+    while True:
+        edges = weakest_sides(edges).checkpoint()
+        left = edges.count()
+        if left <= most or left == n:
+            return edges
+        n = left
+
+
+def by_degree(edges: DataFrame) -> DataFrame:
+    """message_length, event_id, degree, place: vertices by falling degree, ties by id."""
+    ends = edges.select("message_length", F.col("src").alias("event_id")).union(edges.select("message_length", "dst"))
+    degrees = ends.groupBy("message_length", "event_id").agg(F.count("*").alias("degree"))
+    place = F.row_number().over(W.partitionBy("message_length").orderBy(F.desc("degree"), "event_id"))
+    return degrees.withColumn("place", place)
+
+
+def of_ids(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """The events whose event_id is in ids."""
+    return events.join(ids.select("event_id").distinct(), "event_id", "left_semi")
+
+
+def members(clusters: DataFrame) -> DataFrame:
+    """(cluster, event_ids) of (event_id, cluster)."""
+    return clusters.groupBy("cluster").agg(F.sort_array(F.collect_list("event_id")).alias("event_ids"))
+
+
+def cluster_of(members: DataFrame) -> DataFrame:
+    """(event_id, cluster) of (cluster, event_ids)."""
+    return members.select(F.explode("event_ids").alias("event_id"), "cluster")

@@ -10,21 +10,33 @@ from pyspark.sql import Window as W
 
 from ..functions.text import removed_patterns, tokens
 from .events import asterisk
+from .graph import checkpoints
 
 
 @dataclass(frozen=True)
 class Parameters:
+    """longest: tokens of a line, beyond which it is an outlier; support: partitions of no more lines go round step 2;
+    share: with a value above 0, partitions of step 1 with a smaller share of all lines are outliers."""
+
+    longest: int = 120
     constant_share: float = 0.175
     lower: float = 0.25
-    support: float = 0.0
+    support: int = 0
+    share: float = 0.0
     #: An address whose last octet loses all but its first digit, and node numbers.
     patterns: tuple = ((r"([0-9]+\.){3}[0-9]", ""), (r"node-[0-9]+", "node-"))
 
 
 def step1(lines: DataFrame, p: Parameters = Parameters()) -> DataFrame:  # noqa: B008
-    """lines with tokens (after removing the patterns) and part, the partition by their number; lines left empty are part 0, the outliers."""
+    """lines with tokens (after removing the patterns) and part, the partition by their number; lines left empty, too long or rare are part 0, the outliers."""
     t = tokens(removed_patterns(F.col("message"), list(p.patterns)))
-    return lines.withColumn("tokens", t).withColumn("part", F.size("tokens").cast("string"))
+    size = F.when(F.size("tokens") <= p.longest, F.size("tokens")).otherwise(F.lit(0))
+    out = lines.withColumn("tokens", t).withColumn("part", size.cast("string"))
+    if p.share <= 0:
+        return out
+    total = F.sum("n").over(W.partitionBy())  # one row a length
+    rare = out.groupBy("part").agg(F.count("*").alias("n")).withColumn("rare", F.col("n") / (total + 1) < p.share).select("part", "rare")
+    return out.join(F.broadcast(rare), "part").withColumn("part", F.when(F.col("rare"), F.lit("0")).otherwise(F.col("part"))).drop("rare")
 
 
 def cardinalities(lines: DataFrame) -> DataFrame:
@@ -32,11 +44,13 @@ def cardinalities(lines: DataFrame) -> DataFrame:
     return lines.select("part", F.posexplode("tokens").alias("pos", "tok")).groupBy("part", "pos").agg(F.countDistinct("tok").alias("card"))
 
 
-def step2(lines: DataFrame) -> DataFrame:
-    """Splits a partition on its column with the fewest tokens (first of equal ones), unless a column is constant."""
-    least = cardinalities(lines).groupBy("part").agg(F.min(F.struct("card", "pos")).alias("m"))
+def step2(lines: DataFrame, p: Parameters = Parameters()) -> DataFrame:  # noqa: B008
+    """Splits a partition on its column with the fewest tokens (first of equal ones), unless a column is constant, its lines are few or it holds the outliers."""
+    least = cardinalities(lines.where("part <> '0'")).groupBy("part").agg(F.min(F.struct("card", "pos")).alias("m"))
+    if p.support > 0:
+        least = least.join(lines.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > p.support).select("part"), "part", "left_semi")
     out = lines.join(least, "part", "left")
-    split = F.col("m.card") > 1
+    split = F.coalesce(F.col("m.card") > 1, F.lit(False))
     word = F.element_at("tokens", F.col("m.pos") + 1)
     return out.withColumn("by_column", split).withColumn("part", F.when(split, F.concat_ws("/", "part", F.concat(F.lit("c"), F.col("m.pos").cast("string")), word)).otherwise(F.col("part"))).drop("m")
 
@@ -49,7 +63,7 @@ def column_pairs(lines: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     the first of the most common kind, with its second or, if that kind is constant or
     single, the first of the next kind; without a split the first of the rarest two kinds.
     """
-    cards = cardinalities(lines)
+    cards = cardinalities(lines.where("part <> '0'"))
     kind = cards.withColumn("freq", F.count("*").over(W.partitionBy("part", "card")))
     at = F.sort_array(F.collect_list(F.struct("pos", "card", "freq")))
     shape = kind.groupBy("part").agg(at.alias("at"), (F.sum((F.col("card") == 1).cast("int")) / F.count("*")).alias("constant"), F.max("freq").alias("most"), F.min("freq").alias("least"))
@@ -79,9 +93,11 @@ def rank_position(cardinality: Column, lines: Column, one_to_many: Column, lower
 
 def step3(lines: DataFrame, p: Parameters = Parameters()) -> DataFrame:  # noqa: B008
     """Splits partitions by the relation of their two columns: 1-1 by the pair, 1-M and M-1 by the constant side, M-M stays together."""
+    if "weight" not in lines.columns:  # rows that stand for several equal lines carry their number
+        lines = lines.withColumn("weight", F.lit(1))
     rows = lines.join(column_pairs(lines, p), "part", "left")
     rows = rows.withColumn("w1", F.element_at("tokens", F.col("p1") + 1)).withColumn("w2", F.element_at("tokens", F.col("p2") + 1))
-    pairs = rows.where("p1 is not null").groupBy("part", "w1", "w2").agg(F.count("*").alias("n"))
+    pairs = rows.where("p1 is not null").groupBy("part", "w1", "w2").agg(F.sum("weight").alias("n"))
     by1 = pairs.groupBy("part", "w1").agg(F.count("*").alias("fan1"), F.sum("n").alias("n1"))
     by2 = pairs.groupBy("part", "w2").agg(F.count("*").alias("fan2"), F.sum("n").alias("n2"))
     pairs = pairs.join(by1, ["part", "w1"]).join(by2, ["part", "w2"])
@@ -95,7 +111,7 @@ def step3(lines: DataFrame, p: Parameters = Parameters()) -> DataFrame:  # noqa:
     side = F.when(F.col("one_many"), rank_position(F.col("fan1"), F.col("n1"), F.lit(True), p.lower)).when(F.col("many_one"), rank_position(F.col("fan2"), F.col("n2"), F.lit(False), p.lower)).when(F.col("rest") & ~F.col("split"), F.when(F.col("d1") < F.col("d2"), 1).otherwise(2))
     key = F.when(F.col("one_one"), F.concat(F.lit("1:"), "w1")).when(side == 1, F.concat(F.lit("1:"), "w1")).when(side == 2, F.concat(F.lit("2:"), "w2")).otherwise(F.lit("rest"))
     kind = kind.select("part", "w1", "w2", key.alias("key"))
-    return rows.join(kind, ["part", "w1", "w2"], "left").withColumn("part", F.when(F.col("key").isNull(), F.col("part")).otherwise(F.concat_ws("/", "part", "key"))).drop("w1", "w2", "p1", "p2", "key")
+    return rows.join(kind, ["part", "w1", "w2"], "left").withColumn("part", F.when(F.col("key").isNull(), F.col("part")).otherwise(F.concat_ws("/", "part", "key"))).drop("w1", "w2", "p1", "p2", "key", "weight")
 
 
 def step4(lines: DataFrame) -> DataFrame:
@@ -105,5 +121,15 @@ def step4(lines: DataFrame) -> DataFrame:
 
 
 def iplom(lines: DataFrame, p: Parameters = Parameters()) -> DataFrame:  # noqa: B008
-    """line_id, part of every line, by steps 1 to 3."""
-    return step3(step2(step1(lines, p)), p).select("line_id", "part")
+    """line_id, part of every line, by steps 1 to 3 on unique messages, which are written after step 2 as step 3 reads them many times."""
+    unique = lines.groupBy("message").agg(F.count("*").alias("weight"))
+    checkpoints(lines.sparkSession)
+    if p.support > 0 or p.share > 0:  # these count lines
+        return step3(step2(step1(lines, p), p).checkpoint(), p).select("line_id", "part")
+    parts = step3(step2(step1(unique, p), p).checkpoint(), p).select("message", "part")
+    return lines.select("line_id", "message").join(parts, "message").select("line_id", "part")
+
+
+def event_stats(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """(part, template, n_rows) of the events with more than one line."""
+    return lines.groupBy("part").count().where("count > 1").select("part").join(events, "part")

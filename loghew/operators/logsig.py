@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,60 +15,65 @@ from ..functions.text import tokens
 
 
 def term_pairs(lines: DataFrame, *keys: str) -> DataFrame:
-    """keys, w1, w2, n: ordered pairs of a line's tokens, each line counting a pair once a place pair."""
-    words = lines.select(*keys, "line_id", F.posexplode(tokens("message")).alias("j", "w"))
-    right = words.select("line_id", F.col("j").alias("k"), F.col("w").alias("w2"))
-    return words.join(right, "line_id").where("j < k").groupBy(*keys, F.col("w").alias("w1"), "w2").agg(F.count("*").alias("n"))
+    """keys, w1, w2, n: ordered pairs of a line's tokens, each line counting a pair once a place pair; equal messages are counted first."""
+    t = lines.groupBy(*keys, "message").agg(F.count("*").alias("times")).withColumn("t", tokens("message"))
+    after = lambda x, j: F.transform(F.slice("t", j + 2, F.size("t")), lambda y: F.struct(x.alias("w1"), y.alias("w2")))
+    return t.select(*keys, "times", F.explode(F.flatten(F.transform("t", after))).alias("p")).groupBy(*keys, "p.w1", "p.w2").agg(F.sum("times").alias("n"))
 
 
 def signatures(lines: DataFrame, group: str) -> DataFrame:
-    """group, signature: the most frequent sequence (first line of equal ones) of the words that half the group's lines hold."""
-    t = lines.select(group, "line_id", tokens("message").alias("t"))
-    size = t.groupBy(group).agg(F.count("*").alias("lines"))
-    often = t.select(group, F.explode(F.array_distinct("t")).alias("w")).groupBy(group, "w").agg(F.count("*").alias("n")).join(size, group).where(F.col("n") >= F.ceil(F.col("lines") / 2))
-    words = t.select(group, "line_id", F.posexplode("t").alias("i", "w")).join(often.select(group, "w"), [group, "w"], "left_semi")
-    kept = words.groupBy(group, "line_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("signature"))
-    counts = kept.groupBy(group, "signature").agg(F.count("*").alias("n"), F.min("line_id").alias("first_line"))
+    """group, signature: the most frequent sequence (first line of equal ones) of the words that half the group's lines hold; equal messages are counted first."""
+    t = lines.groupBy(group, "message").agg(F.count("*").alias("times"), F.min("line_id").alias("first_line")).withColumn("t", tokens("message"))
+    size = t.groupBy(group).agg(F.sum("times").alias("lines"))
+    often = t.select(group, "times", F.explode(F.array_distinct("t")).alias("w")).groupBy(group, "w").agg(F.sum("times").alias("n")).join(size, group).where(F.col("n") >= F.ceil(F.col("lines") / 2))
+    words = often.groupBy(group).agg(F.collect_set("w").alias("often"))  # at most twice the words of a line, as each is in half of them
+    kept = t.join(words, group).withColumn("signature", F.array_join(F.filter("t", lambda w: F.array_contains("often", w)), " ")).where("signature <> ''")
+    counts = kept.groupBy(group, "signature").agg(F.sum("times").alias("n"), F.min("first_line").alias("first_line"))
     best = F.row_number().over(W.partitionBy(group).orderBy(F.desc("n"), "first_line"))
     return counts.withColumn("r", best).where("r = 1").select(group, "signature")
 
 
-def local_search(messages: list[str], weights: list[int], k: int, seeds: list[int], rounds: int = 50) -> list[int]:
-    """Group of each message: in order, each moves to the group whose potential gains most, until none moves."""
-    pairs = [list(combinations(m.split(), 2)) for m in messages]
+def local_search(messages: list[str], weights: list[int], k: int, seeds: list[int]) -> list[int]:
+    """Group of each message: in order, each moves to the group whose potential gains most, until none moves.
+
+    The gain counts the message's lines as joined: for each of its pairs 3 times the square of
+    the pair's share in the new group, with them, less that in the old one; the first of equal
+    groups wins, and the old one, rated alike, keeps a message that gains nowhere more. A
+    search that comes back to an earlier state stops there, as it would go round for ever.
+    """
+    ids: dict[tuple[str, str], int] = {}
+    pairs = [np.array([ids.setdefault(p, len(ids)) for p in combinations(m.split(), 2)], np.int64) for m in messages]
     group = [s % k for s in seeds]
-    held = [Counter() for _ in range(k)]
-    sizes = [0] * k
+    held, sizes = np.zeros((k, len(ids))), np.zeros(k)
     for g, p, w in zip(group, pairs, weights):
         sizes[g] += w
-        for x in p:
-            held[g][x] += w
-    for _ in range(rounds):
-        moved = False
-        for i, p in enumerate(pairs):
-            own, w = group[i], weights[i]
-            best, gain = own, 0.0
-            for g in range(k):
-                if g == own:
-                    continue
-                delta = 0.0
-                for x in set(p):
-                    add = (held[g][x] / max(1, sizes[g])) ** 2
-                    lose = (held[own][x] / max(1, sizes[own])) ** 2
-                    delta += 3 * (add - lose)
-                if delta > gain + 1e-12:
-                    best, gain = g, delta
-            if best != own:
-                moved = True
+        np.add.at(held[g], p, w)
+    seen = {tuple(group)}
+    while True:
+        before = list(group)
+        for i, (p, w) in enumerate(zip(pairs, weights)):
+            own = group[i]
+            share = ((held[:, p] + w) / (sizes[:, None] + w)) ** 2 - (held[own, p] / sizes[own]) ** 2
+            gains = 3 * share.sum(axis=1)
+            best = int(gains.argmax())
+            if best != own and gains[best] > max(0.0, gains[own]):
                 sizes[own] -= w
                 sizes[best] += w
-                for x in p:
-                    held[own][x] -= w
-                    held[best][x] += w
+                np.add.at(held[own], p, -w)
+                np.add.at(held[best], p, w)
                 group[i] = best
-        if not moved:
-            break
-    return group
+        state = tuple(group)
+        if group == before or state in seen:
+            return group
+        seen.add(state)
+
+
+@dataclass(frozen=True)
+class Parameters:
+    """groups: at most this many a length; key: the column that keeps searches apart."""
+
+    groups: int = 10
+    key: str = "message_length"
 
 
 def logsig(events: DataFrame, k: int, key: str = "message_length") -> DataFrame:

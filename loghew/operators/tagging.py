@@ -40,10 +40,10 @@ def characters(words: DataFrame, column: str) -> DataFrame:
 
 
 def word_ids(sentences: DataFrame, vocab: DataFrame, unknown: str = "$UNK$") -> DataFrame:
-    """sent_id, ids: vocabulary index of every normalised word; others take the unknown word's."""
+    """sent_id, ids: vocabulary index of every normalised word; others take the unknown word's, or null if there is none."""
     words = sentences.select("sent_id", F.posexplode("words").alias("pos", "w")).withColumn("token", normalized_word(F.col("w")))
-    extra = vocab.where(F.col("token") == unknown).select(F.col("idx").alias("other"))
-    got = words.join(vocab, "token", "left").crossJoin(F.broadcast(extra)).withColumn("id", F.coalesce("idx", "other"))  # one row
+    extra = vocab.where(F.col("token") == unknown).agg(F.max("idx").alias("other"))
+    got = words.join(vocab, "token", "left").crossJoin(F.broadcast(extra)).withColumn("id", F.coalesce("idx", "other"))  # always one row
     return got.groupBy("sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
@@ -52,3 +52,23 @@ def padded_ids(rows: DataFrame, fill: int = 0) -> DataFrame:
     most = rows.agg(F.max(F.size("ids")).alias("most"))
     got = rows.crossJoin(F.broadcast(most))  # one row
     return got.select("sent_id", padded(F.col("ids"), F.col("most"), fill).alias("ids"), F.size("ids").alias("length"))
+
+
+def character_ids(sentences: DataFrame, chars: DataFrame) -> DataFrame:
+    """sent_id, ids: for each word the vocabulary indices of its characters, as written; unknown characters are dropped."""
+    words = sentences.select("sent_id", F.posexplode("words").alias("pos", "w"))
+    at = words.select("sent_id", "pos", F.posexplode(F.split("w", "")).alias("i", "token")).join(chars, "token")
+    held = at.groupBy("sent_id", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "idx"))), lambda x: x["idx"]).alias("ids"))
+    empty = F.expr("cast(array() as array<int>)")
+    full = words.select("sent_id", "pos").join(held, ["sent_id", "pos"], "left")
+    return full.groupBy("sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ids", empty).alias("ids")))), lambda x: x["ids"]).alias("ids"))
+
+
+def padded_characters(rows: DataFrame, fill: int = 0) -> DataFrame:
+    """sent_id, ids, lengths: every word filled up to the longest word, every sentence to the longest sentence; lengths are the words' own, 0 for those added."""
+    sizes = F.transform("ids", F.size)
+    most = rows.agg(F.max(F.size("ids")).alias("words"), F.max(F.coalesce(F.array_max(sizes), F.lit(0))).alias("letters"))
+    got = rows.crossJoin(F.broadcast(most))  # one row
+    blank = F.array_repeat(F.lit(fill), F.col("letters"))
+    ids = F.transform("ids", lambda w: padded(w, F.col("letters"), fill))
+    return got.select("sent_id", F.concat(ids, F.array_repeat(blank, F.col("words") - F.size("ids"))).alias("ids"), padded(sizes, F.col("words"), 0).alias("lengths"))

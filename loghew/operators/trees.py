@@ -6,29 +6,55 @@ length), on unique messages; parallelism comes from the groups.
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import removed_patterns
+
 WILD = "<*>"
 
 
 class PrefixTree:
-    """Templates of one message length under their first token, '*' for tokens with digits."""
+    """Templates of one message length under their first tokens, `layers` of them; '*' stands for tokens with digits and for what finds no room.
+
+    A line looks for its tokens' children, else the '*' child; a line that reaches no leaf, or
+    no template there that is similar enough, becomes a template of its own. A node has at
+    most `most` children, the last of them '*'.
+    """
 
-    def __init__(self, similarity: float = 0.5, most: int = 100):
-        self.similarity, self.most = similarity, most
-        self.children: dict[str, list[int]] = {}
+    def __init__(self, similarity: float = 0.5, most: int = 100, layers: int = 1):
+        self.similarity, self.most, self.layers = similarity, most, layers
+        self.children: dict[tuple[str, ...], set[str]] = {}  # of each inner node, known by its path
+        self.leaves: dict[tuple[str, ...], list[int]] = {}
         self.templates: list[list[str]] = []
 
+    def sought(self, words: list[str]) -> tuple[str, ...] | None:
+        path: tuple[str, ...] = ()
+        for w in words[: self.layers]:
+            known = self.children.get(path, ())
+            if w not in known and "*" not in known:
+                return None
+            path += (w if w in known else "*",)
+        return path
+
+    def room(self, words: list[str]) -> tuple[str, ...]:
+        path: tuple[str, ...] = ()
+        for w in words[: self.layers]:
+            known = self.children.setdefault(path, set())
+            full = len(known) + ("*" not in known) >= self.most
+            if w not in known and (full or any(ch.isdigit() for ch in w)):
+                w = "*"
+            known.add(w)
+            path += (w,)
+        return path
+
     def add(self, words: list[str]) -> int:
-        first = words[0] if words else ""
-        key = "*" if any(ch.isdigit() for ch in first) else first
-        if key not in self.children and len(self.children) >= self.most:
-            key = "*"
-        leaf = self.children.setdefault(key, [])
         best, score = -1, (-1.0, -1)
-        for t in leaf:
+        for t in self.leaves.get(self.sought(words), ()):
             template = self.templates[t]
             same = sum(a == b != "*" for a, b in zip(template, words))
             own = (same / len(words) if words else 1.0, template.count("*"))
@@ -38,23 +64,51 @@ class PrefixTree:
             self.templates[best] = [a if a == b else "*" for a, b in zip(self.templates[best], words)]
             return best
         self.templates.append(list(words))
-        leaf.append(len(self.templates) - 1)
-        return leaf[-1]
+        self.leaves.setdefault(self.room(words), []).append(len(self.templates) - 1)
+        return len(self.templates) - 1
+
+    def lines(self) -> list[tuple[int, str]]:
+        """(depth, text) of the tree's nodes and templates, in order."""
+
+        def under(path: tuple[str, ...]):
+            for t in self.leaves.get(path, ()):
+                yield len(path), " ".join(self.templates[t])
+            for w in sorted(self.children.get(path, ())):
+                yield len(path), w
+                yield from under((*path, w))
 
+        return list(under(()))
 
-def drain(events: DataFrame, similarity: float = 0.5, most: int = 100) -> DataFrame:
-    """event_id, group of unique events, in order of first line within a message length."""
+
+@dataclass(frozen=True)
+class DrainParameters:
+    """similarity: least share of agreeing places; most: children of a node; depth: with root, length and leaf; patterns: replacements before."""
+
+    similarity: float = 0.5
+    most: int = 100
+    depth: int = 4
+    patterns: tuple[tuple[str, str], ...] = ()
+
+
+def drain(events: DataFrame, similarity: float = 0.5, most: int = 100, depth: int = 4, patterns: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """event_id, group of unique events, in order of first line within a message length.
+
+    depth counts the root, the length and the leaf besides the token layers; patterns are
+    replaced before the message is read.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("event_id")
-        tree = PrefixTree(similarity, most)
-        return pd.DataFrame({"event_id": rows["event_id"], "group": [f"{n}/{tree.add(m.split())}" for n, m in zip(rows["message_length"], rows["message"])]})
+        tree = PrefixTree(similarity, most, max(0, depth - 3))
+        return pd.DataFrame({"event_id": rows["event_id"], "group": [f"{n}/{tree.add(m.split())}" for n, m in zip(rows["length"], rows["message"])]})
 
-    return events.select("event_id", "message_length", "message").groupBy("message_length").applyInPandas(run, "event_id long, group string")
+    message = removed_patterns(F.col("message"), list(patterns))
+    rows = events.select("event_id", message.alias("message"), F.size(F.filter(F.split(message, " "), lambda t: t != "")).alias("length"))
+    return rows.groupBy("length").applyInPandas(run, "event_id long, group string")
 
 
 def align(a: list[str], b: list[str], match: int = 10, mismatch: int = 1, gap: int = 0) -> tuple[list[str], list[str]]:
-    """Local alignment with '-' for gaps; of equal paths the diagonal, then up, then left."""
+    """Local alignment with '-' for gaps; of equal paths the diagonal, then the one that takes b's token, then the one that takes a's."""
     n, m = len(a), len(b)
     score = [[0] * (m + 1) for _ in range(n + 1)]
     back = [[0] * (m + 1) for _ in range(n + 1)]
@@ -65,7 +119,7 @@ def align(a: list[str], b: list[str], match: int = 10, mismatch: int = 1, gap: i
             u, left = score[i - 1][j] + gap, score[i][j - 1] + gap
             s = max(0, d, u, left)
             score[i][j] = s
-            back[i][j] = 0 if s == 0 else 1 if s == d else 2 if s == u else 3
+            back[i][j] = 0 if s == 0 else 1 if s == d else 3 if s == left else 2
             if s >= top:
                 top, at = s, (i, j)
     x, y, (i, j) = [], [], at
@@ -152,8 +206,9 @@ class Subsequences:
 
     def add(self, words: list[str]) -> int:
         best, length, found = -1, 0, []
+        own = Counter(words)
         for i, o in enumerate(self.objects):
-            if len(o) <= length or len(set(o) & set(words)) <= length:
+            if len(o) <= length or (Counter(o) & own).total() <= length:  # no longer sequence is possible
                 continue
             c = common_words(o, words)
             if len(c) > length:

@@ -44,19 +44,27 @@ def remap(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     return p.withColumn("fresh", fresh).crossJoin(F.broadcast(n)).select("abstraction_id", F.coalesce("gt_id", F.col("n") + F.col("fresh")).cast("long").alias("new_id"))
 
 
-def evaluate(truth_lines: DataFrame, predicted_lines: DataFrame) -> DataFrame:
-    """tp, fp, fn, precision, recall, accuracy (the F1 of the rounded two), line-weighted by true group; and unrounded f1.
+def evaluate(truth_lines: DataFrame, predicted_lines: DataFrame, *by: str) -> DataFrame:
+    """by, tp, fp, fn, precision, recall, accuracy (the F1 of the rounded two), line-weighted by true group; and unrounded f1.
 
-    truth_lines: (line_id, gt_id); predicted_lines: (line_id, new_id). A group whose id is
-    predicted anywhere is tp; else fp when its lines share one predicted id, fn when not.
-    Empty denominators give null.
+    truth_lines: (by, line_id, gt_id); predicted_lines: (by, line_id, new_id). A group whose id
+    is predicted anywhere (under the same by) is tp; else fp when its lines share one
+    predicted id, fn when not. Empty denominators give null.
     """
-    seen = predicted_lines.select(F.col("new_id").alias("gt_id")).distinct().withColumn("hit", F.lit(True))
-    per = truth_lines.join(predicted_lines, "line_id", "left").groupBy("gt_id").agg(F.count("*").alias("n"), F.countDistinct("new_id").alias("ids"))
-    per = per.join(seen, "gt_id", "left")
+    seen = predicted_lines.select(*by, F.col("new_id").alias("gt_id")).distinct().withColumn("hit", F.lit(True))
+    per = truth_lines.join(predicted_lines, [*by, "line_id"], "left").groupBy(*by, "gt_id").agg(F.count("*").alias("n"), F.countDistinct("new_id").alias("ids"))
+    per = per.join(seen, [*by, "gt_id"], "left")
     hit = F.coalesce("hit", F.lit(False))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("double")
-    s = per.agg(total(hit).alias("tp"), total(~hit & (F.col("ids") == 1)).alias("fp"), total(~hit & (F.col("ids") != 1)).alias("fn"))
+    s = per.groupBy(*by).agg(total(hit).alias("tp"), total(~hit & (F.col("ids") == 1)).alias("fp"), total(~hit & (F.col("ids") != 1)).alias("fn"))
     s = s.withColumn("precision", F.bround(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), 3)).withColumn("recall", F.bround(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), 3))
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return s.withColumn("accuracy", F.bround(f1, 3)).withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+
+
+def truth_lines(parsed: DataFrame, labels: list[str], groups: DataFrame) -> DataFrame:
+    """(line_id, gt_id) of ground_truth(parsed, labels)."""
+    rows = label_lines(parsed, labels).withColumn("message_length", F.size(F.split("message", " ")))
+    rows = rows.withColumn("total", F.aggregate(F.transform("tokens", F.length), F.lit(0), lambda s, x: s + x))
+    keys = ["message_length", "label_idx", "total"]
+    return rows.select("line_id", *keys).join(groups.select(*keys, "gt_id"), keys).select("line_id", "gt_id")
