@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import WHITE
+from ..functions.text import WHITE, removed_patterns
+from ..operators.graph import checkpoints
 
 
 def number_lines(df: DataFrame, source: str, position: str, raw: str) -> DataFrame:
@@ -57,11 +58,28 @@ def compile_format(fmt: str) -> tuple[list[str], str]:
     return headers, f"^{pattern}$"
 
 
-def format_scan(lines: DataFrame, fmt: str, raw: str = "raw") -> DataFrame:
-    """One column a header of the format; lines that don't match are left out."""
+def dense_numbers(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """rows with name: 1, 2, ... in order; counted by ranges, so that no task holds all rows."""
+    checkpoints(rows.sparkSession)
+    part = F.spark_partition_id().alias("part_")
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", part, F.monotonically_increasing_id().alias("at_")).checkpoint()
+    sizes = sorted_.groupBy("part_").agg(F.count("*").alias("size_"), F.min("at_").alias("first_"))
+    before = F.sum("size_").over(W.orderBy("part_")) - F.col("size_")  # one row a range
+    return sorted_.join(F.broadcast(sizes.withColumn("before_", before)), "part_").withColumn(name, F.col("before_") + F.col("at_") - F.col("first_") + 1).drop("part_", "at_", "size_", "first_", "before_")
+
+
+def format_scan(lines: DataFrame, fmt: str, raw: str = "raw", order: tuple[str, ...] = (), patterns: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """One column a header of the format; lines that don't match are left out.
+
+    order: columns that order the lines, which then get LineId, from 1 over the matching
+    ones. patterns: replacements that make Content_ of Content.
+    """
     headers, pattern = compile_format(fmt)
     kept = lines.where(F.col(raw).rlike(pattern))
-    return kept.select("*", *(F.regexp_extract(raw, pattern, i + 1).alias(h) for i, h in enumerate(headers)))
+    got = kept.select("*", *(F.regexp_extract(raw, pattern, i + 1).alias(h) for i, h in enumerate(headers)))
+    if patterns:
+        got = got.withColumn("Content_", removed_patterns(F.col("Content"), list(patterns)))
+    return dense_numbers(got, "LineId", *order) if order else got
 
 
 def json_map(spark: SparkSession, path: str, value: str = "bigint") -> DataFrame:
@@ -94,6 +112,20 @@ def vocabulary(spark: SparkSession, path: str) -> dict[str, int]:
     return {r["value"].strip(): i for i, r in enumerate(spark.read.text(path).collect())}
 
 
+def vector_words(spark: SparkSession, path: str) -> DataFrame:
+    """(token): the words of a word-vector text file."""
+    return spark.read.text(path).select(F.split("value", " ")[0].alias("token")).distinct()
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    vectors.select("token", "vector").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(token, vector) of save_vectors."""
+    return spark.read.schema("token string, vector array<float>").parquet(path)
+
+
 def trimmed_vectors(spark: SparkSession, path: str, vocab: DataFrame) -> DataFrame:
     """(token, vector) of a word-vector text file for the vocabulary's tokens."""
     parts = F.split("value", " ")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Data that the baselines tokenise where a line has no message; configurable.
@@ -15,19 +17,37 @@ def per_line(assignments: DataFrame, logs: DataFrame) -> DataFrame:
 
 
 def per_abstraction(abstractions: DataFrame, assignments: DataFrame, logs: DataFrame) -> DataFrame:
-    """(abstraction_id, text): a block of the template and its numbered lines."""
-    rows = assignments.select("line_id", "abstraction_id").join(logs, "line_id")
-    lines = rows.groupBy("abstraction_id").agg(F.sort_array(F.collect_list(F.struct("line_id", "raw"))).alias("x"))
-    block = F.array_join(F.transform("x", lambda r: F.concat_ws(" ", r["line_id"].cast("string"), r["raw"])), "\n")
-    head = F.concat(F.lit("Abstraction #"), F.col("abstraction_id").cast("string"), F.lit(" "), F.col("abstraction"))
-    return lines.join(abstractions, "abstraction_id").select("abstraction_id", F.concat(head, F.lit("\n"), block, F.lit("\n")).alias("text"))
+    """(abstraction_id, line_id, text): the lines of each block: the template (line_id -1), its numbered lines in order, a blank (line_id null)."""
+    head = abstractions.select("abstraction_id", F.lit(-1).cast("long").alias("line_id"), F.concat(F.lit("Abstraction #"), F.col("abstraction_id").cast("string"), F.lit(" "), F.col("abstraction")).alias("text"))
+    rows = assignments.select("line_id", "abstraction_id").join(logs, "line_id").select("abstraction_id", F.col("line_id").cast("long").alias("line_id"), F.concat_ws(" ", F.col("line_id").cast("string"), "raw").alias("text"))
+    return head.unionByName(rows).unionByName(abstractions.select("abstraction_id", F.lit(None).cast("long").alias("line_id"), F.lit("").alias("text")))
 
 
 def comparison(predicted: DataFrame, truth: DataFrame) -> DataFrame:
-    """(abstraction_id, abstraction, gt_id, rule): predictions beside the true template of equal trimmed text; unmatched ones carry null."""
-    t = truth.select("gt_id", F.trim("template").alias("key"))
+    """(abstraction_id, abstraction, gt_id, truth, rule): predictions beside the true template of equal trimmed text, the last of equal ones; rule is as long as that template and one more. Unmatched ones carry null."""
+    t = truth.groupBy(F.trim("template").alias("key")).agg(F.max(F.struct("gt_id", "template")).alias("t"))
     p = predicted.withColumn("key", F.trim("abstraction"))
-    return p.join(t, "key", "left").select("abstraction_id", "abstraction", "gt_id", F.repeat(F.lit("-"), F.length("abstraction") + 1).alias("rule"))
+    return p.join(t, "key", "left").select("abstraction_id", "abstraction", "t.gt_id", F.col("t.template").alias("truth"), F.repeat(F.lit("-"), F.length("t.template") + 1).alias("rule"))
+
+
+def comparison_lines(pairs: DataFrame, truth_lines: DataFrame, assignments: DataFrame, logs: DataFrame) -> DataFrame:
+    """(matched, abstraction_id, part, line_id, text), to be ordered by these (matched first): the true block, the predicted one and a rule, or the block of a prediction without a match."""
+    matched = F.col("gt_id").isNotNull()
+    p = pairs.withColumn("matched", matched)
+    row = lambda df, part, line, text: df.select("matched", "abstraction_id", F.lit(part).alias("part"), line.cast("long").alias("line_id"), text.alias("text"))
+    said = F.concat_ws(" ", F.col("line_id").cast("string"), "raw")
+    none = F.lit(None)
+    yes = p.where("matched")
+    true = yes.join(truth_lines, "gt_id").join(logs, "line_id")
+    own = p.join(assignments.select("line_id", "abstraction_id"), "abstraction_id").join(logs, "line_id")
+    parts = [
+        row(yes, 0, none, F.concat(F.lit("Ground truth: "), "truth")),
+        row(true, 1, F.col("line_id"), said),
+        row(p, 2, none, F.concat(F.when(matched, "Prediction  : ").otherwise("No match prediction: "), "abstraction")),
+        row(own, 3, F.col("line_id"), said),
+        row(yes, 4, none, F.col("rule")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def template_list(abstractions: DataFrame) -> DataFrame:
@@ -50,5 +70,49 @@ def with_mean(metrics: DataFrame) -> DataFrame:
     return metrics.unionByName(mean)
 
 
-def write_text(rows: DataFrame, path: str, order: str) -> None:
-    rows.orderBy(order).select("text").write.mode("overwrite").text(path)
+def structured(lines: DataFrame, assignments: DataFrame, abstractions: DataFrame, letters_apart: bool = False) -> DataFrame:
+    """lines with EventId and EventTemplate; the id is the start of the template's MD5, of its letters with spaces between if letters_apart."""
+    t = abstractions.select("abstraction_id", F.col("abstraction").alias("EventTemplate"))
+    return lines.join(assignments.join(t, "abstraction_id"), "line_id").withColumn("EventId", event_id(F.col("EventTemplate"), letters_apart)).drop("abstraction_id")
+
+
+def event_id(template: Column, letters_apart: bool = False) -> Column:
+    text = F.array_join(F.filter(F.split(template, ""), lambda x: x != ""), " ") if letters_apart else template
+    return F.substring(F.md5(text), 1, 8)
+
+
+def occurrences(structured_lines: DataFrame) -> DataFrame:
+    """EventId, EventTemplate, Occurrences."""
+    return structured_lines.groupBy("EventId", "EventTemplate").agg(F.count("*").alias("Occurrences"))
+
+
+def group_line_numbers(assignments: DataFrame, group: str = "abstraction_id") -> DataFrame:
+    """(group, number): lines by group, counted from 1."""
+    return assignments.select(group, (F.col("line_id") + 1).alias("number"))
+
+
+def aligned(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """(first, second) texts of two array columns, each pair of items padded to the longer one."""
+    wide = F.zip_with(first, second, lambda a, b: F.greatest(F.length(a), F.length(b)))
+    pad = lambda c: F.array_join(F.zip_with(c, wide, lambda x, n: F.rpad(x, n, " ")), " ")
+    return rows.select(F.rtrim(pad(first)).alias(first), F.rtrim(pad(second)).alias(second))
+
+
+def write_text(rows: DataFrame, path: str, *order: str) -> None:
+    """Text lines in order; earlier results go."""
+    rows.orderBy(*order).select("text").write.mode("overwrite").text(path)
+
+
+def write_csv(rows: DataFrame, path: str, *order: str) -> None:
+    """CSV with a header, as one file: for results of one row a file or template."""
+    (rows.orderBy(*order) if order else rows).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_groups(rows: DataFrame, path: str, group: str) -> None:
+    """Tab-separated files in a folder for each group."""
+    rows.write.mode("overwrite").partitionBy(group).option("sep", "\t").csv(path)
+
+
+def write_vocabulary(vocab: DataFrame, path: str) -> None:
+    """A token a line, in order of idx."""
+    vocab.orderBy("idx").select("token").write.mode("overwrite").text(path)
