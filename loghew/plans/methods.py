@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import divisive, events, iplom, logsig, trees
+from ..operators import divisive, events, graph, iplom, logsig, trees
 
 
 def _by_event(run: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
@@ -30,20 +30,22 @@ METHODS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def abstract(logs: DataFrame, method: str = "graph", **params) -> DataFrame:
-    """group, n_entity, abstraction_id, abstraction, log_ids of (line_id, raw); every line is in exactly one."""
-    parsed = events.split_fields(logs)
-    lines = kept(METHODS[method](parsed, **params))
-    return events.final_abstractions(parsed.join(lines, "line_id"), ["group"])
+class Result(NamedTuple):
+    """abstractions: group, n_entity, abstraction_id, abstraction, n_lines, first_line; lines: line_id, abstraction_id, each line once."""
+
+    abstractions: DataFrame
+    lines: DataFrame
+
+
+def abstract(logs: DataFrame, method: str = "graph", split: Callable[[DataFrame], DataFrame] = events.split_fields, **params) -> Result:
+    """The templates of (line_id, raw) and the lines they stand for; split finds the fields (see tagger.split_by_tags for a learned one)."""
+    parsed = split(logs)
+    rows = parsed.join(kept(METHODS[method](parsed, **params)), "line_id")
+    found = kept(events.final_abstractions(rows, ["group"]))
+    return Result(found, events.assigned(rows, found, ["group"]))
 
 
 def kept(rows: DataFrame) -> DataFrame:
     """rows, computed once: what follows reads them several times. checkpoint() writes to the shared folder."""
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loghew-"))
+    graph.checkpoints(rows.sparkSession)
     return rows.checkpoint()
-
-
-def assignments(abstractions: DataFrame) -> DataFrame:
-    return abstractions.select(F.explode("log_ids").alias("line_id"), "abstraction_id")

@@ -71,6 +71,22 @@ ky AS (SELECT rel.part, w1, w2, CASE WHEN oo THEN '1:' || w1 WHEN om THEN CASE W
     WHEN mo THEN CASE WHEN fan2 / n2 <= 0.25 THEN '1:' || w1 ELSE '2:' || w2 END WHEN split THEN 'rest' WHEN d1 < d2 THEN '1:' || w1 ELSE '2:' || w2 END AS key FROM rel LEFT JOIN rst USING (part)),
 s3 AS (SELECT s2.line_id, s2.tokens, CASE WHEN ky.key IS NULL THEN s2.part ELSE s2.part || '/' || ky.key END AS part FROM s2 LEFT JOIN pr USING (line_id) LEFT JOIN ky ON ky.part = s2.part AND ky.w1 = pr.w1 AND ky.w2 = pr.w2)"""
 
+BOTH = TRUTH + "," + FINAL.replace("pos AS", "pos2 AS").replace("FROM pos ", "FROM pos2 ").replace("siz AS", "siz2 AS").replace("siz.*", "siz2.*").replace("FROM siz ", "FROM siz2 ").replace("JOIN siz ", "JOIN siz2 ").replace("tpl AS", "tpl2 AS").replace("FROM tpl)", "FROM tpl2)")[len(PARSED) + 1:]
+SCORED = BOTH + r""",
+known AS (SELECT template, max(gt_id) AS id FROM gt GROUP BY 1),
+ids AS (SELECT abstraction_id, coalesce(id, (SELECT count(*) FROM gt) + row_number() OVER (PARTITION BY id IS NULL ORDER BY abstraction_id) - 1)::BIGINT AS new_id FROM fin LEFT JOIN known ON rtrim(abstraction) = known.template),
+both_ AS (SELECT w.line_id, w.service AS filename, gt.gt_id AS g, ids.new_id AS p FROM lab w JOIN gt USING (message_length, label_idx, total) JOIN fin ON fin.length = w.length AND fin.service = w.service JOIN ids ON ids.abstraction_id = fin.abstraction_id)"""
+
+
+def metrics(by: str) -> str:
+    """CTE bodies: m(by, tp, fp, fn, precision, recall) of both_."""
+    return f"""
+q AS (SELECT {by}g, count(*) AS n, count(DISTINCT p) AS ids FROM both_ GROUP BY ALL), seen AS (SELECT DISTINCT {by}p AS g, TRUE AS hit FROM both_),
+h AS (SELECT q.*, coalesce(hit, FALSE) AS hit FROM q LEFT JOIN seen USING ({by}g)),
+s AS (SELECT {by}coalesce(sum(n) FILTER (hit), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (NOT hit AND ids = 1), 0)::DOUBLE AS fp, coalesce(sum(n) FILTER (NOT hit AND ids <> 1), 0)::DOUBLE AS fn FROM h GROUP BY ALL),
+m AS (SELECT *, round_even(tp / nullif(tp + fp, 0), 3) AS precision, round_even(tp / nullif(tp + fn, 0), 3) AS recall FROM s)"""
+
+
 ORACLES: dict[str, str] = {
     "log_scan": "SELECT doc_id AS source, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS line_id, line AS raw FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(line, ' \t\r\n') <> ''",
     "tokenize": f"WITH {LOGS} SELECT line_id, len(string_split(raw, ' '))::INT AS n_tokens, replace(raw, ' ', '|') AS tokens FROM logs",
@@ -82,16 +98,10 @@ ORACLES: dict[str, str] = {
     "final_abstraction": f"WITH {FINAL} SELECT abstraction_id, abstraction, n_entity, n_rows AS n_lines, first_line FROM fin",
     "wordlist_label": f"WITH {LOGS} SELECT {LABEL} AS label_idx, count(*) AS n, min(line_id) AS first_line FROM logs GROUP BY 1",
     "ground_truth_templates": f"WITH {TRUTH} SELECT * FROM gt",
-    "gt_id_remap": f"""WITH {TRUTH}, t AS (SELECT row_number() OVER (ORDER BY gt_id) - 1 AS gt_id, template FROM gt WHERE gt_id % 3 <> 1), k AS (SELECT template, max(gt_id) AS id FROM t GROUP BY 1),
-p AS (SELECT gt.gt_id AS abstraction_id, k.id FROM gt LEFT JOIN k ON rtrim(gt.template) = k.template)
-SELECT abstraction_id, coalesce(id, (SELECT count(*) FROM t) + row_number() OVER (PARTITION BY id IS NULL ORDER BY abstraction_id) - 1)::BIGINT AS new_id FROM p""",
-    "eval_metrics": f"""WITH {PARSED}, r AS (SELECT line_id, {LABEL} AS g FROM parsed), l AS (SELECT g, CASE g WHEN 1 THEN 2 WHEN 3 THEN 10 + line_id % 2 WHEN 5 THEN 20 ELSE g END AS p FROM r),
-q AS (SELECT g, count(*) AS n, count(DISTINCT p) AS ids, g IN (SELECT p FROM l) AS hit FROM l GROUP BY g),
-s AS (SELECT coalesce(sum(n) FILTER (hit), 0)::DOUBLE AS tp, coalesce(sum(n) FILTER (NOT hit AND ids = 1), 0)::DOUBLE AS fp, coalesce(sum(n) FILTER (NOT hit AND ids <> 1), 0)::DOUBLE AS fn FROM q),
-m AS (SELECT *, round_even(tp / nullif(tp + fp, 0), 3) AS precision, round_even(tp / nullif(tp + fn, 0), 3) AS recall FROM s)
-SELECT *, round_even(2 * precision * recall / nullif(precision + recall, 0), 3) AS accuracy, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM m""",
+    "gt_id_remap": f"WITH {SCORED} SELECT abstraction_id, new_id FROM ids",
+    "eval_metrics": f"WITH {SCORED}, {metrics(str())} SELECT *, round_even(2 * precision * recall / nullif(precision + recall, 0), 3) AS accuracy, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM m",
     "weighted_hamming_edges": f"WITH {EDGES} SELECT * FROM edges",
-    "hamming_expression": f"WITH {EDGES} SELECT * FROM edges WHERE src < 40 AND dst < 40",
+    "hamming_expression": f"WITH {EDGES} SELECT * FROM edges",
     "graph_density": f"""WITH {EDGES}, v AS (SELECT message_length, count(*) AS vertices FROM ev GROUP BY 1), e AS (SELECT message_length, count(*) AS edges FROM edges GROUP BY 1),
 d AS (SELECT message_length, vertices, coalesce(edges, 0) AS edges, CASE WHEN vertices > 1 THEN 2.0::DOUBLE * coalesce(edges, 0) / (vertices * (vertices - 1)) ELSE 0.0::DOUBLE END AS density FROM v LEFT JOIN e USING (message_length))
 SELECT *, density > 0.8 AND density <= 1.0 AND edges >= 10000 AS forced FROM d""",
@@ -109,7 +119,7 @@ SELECT x.message_length, count(*) AS n, sum(x.src + x.dst + y.dst)::BIGINT AS id
 SELECT word, {GENERAL} AS class FROM u""",
     "over_abstraction": f"""WITH {PARSED}, {stars('words', 'length, service', 'w')}, x AS (SELECT *, string_split(template, ' ') AS t, len(list_filter(string_split(template, ' '), lambda y: y = '*'))::INT AS n_stars FROM tpl)
 SELECT length AS message_length, service, n_stars, n_stars = len(t) - 1 AND len(t) > 3 AS over, regexp_full_match(template, '[* ]*[*][* ]*') AS only_stars FROM x""",
-    "merge_test": f"""WITH {EVENTS}, s AS (SELECT * FROM et WHERE event_id < 60), g AS (SELECT DISTINCT word FROM (SELECT unnest(t) AS word FROM s)), cls AS (SELECT word, {GENERAL} AS c FROM g),
+    "merge_test": f"""WITH {EVENTS}, s AS (SELECT * FROM et), g AS (SELECT DISTINCT word FROM (SELECT unnest(t) AS word FROM s)), cls AS (SELECT word, {GENERAL} AS c FROM g),
 p AS (SELECT a.event_id, b.event_id AS other, a.t, b.t AS u, unnest(range(1, len(a.t) + 1)) AS i FROM s a JOIN s b ON a.message_length = b.message_length AND a.event_id < b.event_id)
 SELECT event_id, other, bool_and(t[i] = u[i] OR t[i] = '*' OR x.c = y.c) AS mergeable, string_agg(CASE WHEN t[i] = u[i] THEN t[i] ELSE '*' END, '|' ORDER BY i) AS template FROM p JOIN cls x ON x.word = t[i] JOIN cls y ON y.word = u[i] GROUP BY 1, 2""",
     "drain_similarity": f"""WITH {EVENTS}, h AS (SELECT message_length, arg_min(t, event_id) AS h FROM et GROUP BY 1)
@@ -141,15 +151,32 @@ g AS (SELECT *, trim(line) = '' OR starts_with(line, '-DOCSTART-') AS cut, sum((
 s AS (SELECT doc_id, gap, count(*)::INT AS n_words, string_agg(string_split(line, ' ')[1], '|' ORDER BY pos) AS words, string_agg(string_split(line, ' ')[-1], '|' ORDER BY pos) AS tags FROM g WHERE NOT cut GROUP BY ALL)
 SELECT doc_id AS source, (row_number() OVER (PARTITION BY doc_id ORDER BY gap) - 1)::INT AS sent_id, n_words, words, tags FROM s""",
     "word_ids": f"""WITH {TAGGED}, x AS (SELECT sent_id, p, CASE WHEN regexp_full_match(w, '[0-9]+') THEN '$NUM$' ELSE lower(w) END AS w FROM (SELECT sent_id, unnest(range(0, len(tokens))) AS p, unnest(tokens) AS w FROM tagged)),
-v AS (SELECT row_number() OVER (ORDER BY token) - 1 AS idx, token FROM (SELECT DISTINCT w AS token FROM x WHERE sent_id % 2 = 0 UNION SELECT '$UNK$')),
+v AS (SELECT row_number() OVER (ORDER BY token) - 1 AS idx, token FROM (SELECT DISTINCT w AS token FROM x UNION SELECT '$UNK$')),
 i AS (SELECT sent_id, list(coalesce(v.idx, (SELECT idx FROM v WHERE token = '$UNK$')) ORDER BY p) AS ids FROM x LEFT JOIN v ON v.token = x.w GROUP BY 1)
-SELECT sent_id, least(len(ids), 10)::INT AS length, array_to_string(list_resize(ids, 10, 0), '|') AS ids FROM i""",
+SELECT sent_id, len(ids)::INT AS length, array_to_string(list_resize(ids, (SELECT max(len(ids)) FROM i), 0), '|') AS ids FROM i""",
     "perline": f"WITH {FINAL} SELECT line_id, abstraction_id::VARCHAR || '; ' || raw AS text FROM words JOIN fin USING (length, service)",
-    "perabstraction": f"""WITH {FINAL}, b AS (SELECT abstraction_id, abstraction, string_agg(line_id::VARCHAR || ' ' || raw, chr(10) ORDER BY line_id) AS l FROM words JOIN fin USING (length, service) GROUP BY ALL),
-t AS (SELECT abstraction_id, 'Abstraction #' || abstraction_id::VARCHAR || ' ' || abstraction || chr(10) || l || chr(10) AS text FROM b) SELECT abstraction_id, md5(text) AS text_md5, len(text)::INT AS n FROM t""",
-    "comparison": f"WITH {TRUTH}, {FINAL.replace('pos AS', 'pos2 AS').replace('FROM pos ', 'FROM pos2 ').replace('siz AS', 'siz2 AS').replace('siz.*', 'siz2.*').replace('FROM siz ', 'FROM siz2 ').replace('JOIN siz ', 'JOIN siz2 ').replace('tpl AS', 'tpl2 AS').replace('FROM tpl)', 'FROM tpl2)')[len(PARSED) + 1:]} SELECT abstraction_id, abstraction, gt_id, repeat('-', len(abstraction) + 1) AS rule FROM fin LEFT JOIN gt ON trim(fin.abstraction) = trim(gt.template)",
+    "perabstraction": f"""WITH {FINAL} SELECT abstraction_id, -1::BIGINT AS line_id, 'Abstraction #' || abstraction_id::VARCHAR || ' ' || abstraction AS text FROM fin
+UNION ALL SELECT abstraction_id, line_id, line_id::VARCHAR || ' ' || raw FROM words JOIN fin USING (length, service) UNION ALL SELECT abstraction_id, NULL, '' FROM fin""",
+    "comparison": f"""WITH {BOTH}, t AS (SELECT trim(template) AS key, max(gt_id) AS gt_id, arg_max(template, gt_id) AS truth FROM gt GROUP BY 1)
+SELECT abstraction_id, abstraction, gt_id, truth, repeat('-', len(truth) + 1) AS rule FROM fin LEFT JOIN t ON trim(abstraction) = key""",
     "template_list": f"WITH {FINAL} SELECT abstraction_id, '#' || abstraction_id::VARCHAR || ' ' || abstraction AS text FROM fin",
     "parsed_messages": f"WITH {PARSED} SELECT line_id, CASE WHEN line_id % 50 = 0 THEN 'loghew: no message found' ELSE message END AS message FROM parsed",
-    "evaluation_table": f"""WITH {LOGS}, o AS (SELECT 'label' || ({LABEL})::VARCHAR AS filename, count(*)::DOUBLE AS tp, avg((line_id % 10)::DOUBLE) AS accuracy FROM logs GROUP BY 1)
-SELECT filename, tp, round(accuracy, 6) AS accuracy FROM o UNION ALL SELECT '------', NULL, round(avg(accuracy), 6) FROM o""",
+    "evaluation_table": f"""WITH {SCORED}, {metrics('filename, ')}, o AS (SELECT *, round_even(2 * precision * recall / nullif(precision + recall, 0), 3) AS accuracy FROM m)
+SELECT * FROM o UNION ALL SELECT '------', NULL, NULL, NULL, NULL, NULL, round(avg(accuracy), 6) FROM o""",
+    "structured_lines": f"WITH {FINAL} SELECT line_id, message, abstraction AS \"EventTemplate\", substring(md5(abstraction), 1, 8) AS \"EventId\" FROM words JOIN fin USING (length, service)",
+    "ground_truth_json": f"""WITH {TRUTH} SELECT '{{' || string_agg('"' || gt_id::VARCHAR || '":"' || template || '"', ',' ORDER BY gt_id::VARCHAR) || '}}' AS value FROM gt""",
+    "method_iplom": f"""WITH {STEP3}, r AS (SELECT s3.part, words.line_id, words.tokens FROM s3 JOIN words USING (line_id)), {stars('r', 'part', 'tokens')}
+SELECT (row_number() OVER (ORDER BY first_line) - 1)::BIGINT AS abstraction_id, template AS abstraction, 5 AS n_entity, n_rows AS n_lines, first_line FROM tpl""",
+    "vertex_order": f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE weight >= 0.85), v AS (SELECT message_length, event_id, count(*) AS degree FROM (SELECT message_length, src AS event_id FROM e UNION ALL SELECT message_length, dst FROM e) GROUP BY ALL)
+SELECT *, (row_number() OVER (PARTITION BY message_length ORDER BY degree DESC, event_id))::INT AS place FROM v""",
+    "weakest_sides": f"""WITH {EDGES}, e AS (SELECT * FROM edges WHERE weight >= 0.85),
+t AS (SELECT x.message_length, [x.src, x.dst] AS ab, [y.src, y.dst] AS bc, [z.src, z.dst] AS ac, x.weight AS wab, y.weight AS wbc, z.weight AS wac FROM e x JOIN e y ON x.dst = y.src AND x.message_length = y.message_length JOIN e z ON z.src = x.src AND z.dst = y.dst AND z.message_length = x.message_length),
+k AS (SELECT DISTINCT message_length, CASE WHEN (wab, ab) < (wbc, bc) AND (wab, ab) < (wac, ac) THEN ab WHEN (wac, ac) < (wbc, bc) THEN ac ELSE bc END AS g FROM t)
+SELECT e.* FROM e LEFT JOIN k ON k.message_length = e.message_length AND k.g[1] = src AND k.g[2] = dst WHERE k.g IS NULL""",
+    "character_ids": f"""WITH {PARSED}, v AS (SELECT (row_number() OVER (ORDER BY token) - 1)::INT AS idx, token FROM (SELECT DISTINCT unnest(string_split(replace(raw, ' ', ''), '')) AS token FROM parsed)),
+w AS (SELECT line_id, unnest(range(1, len(tokens) + 1)) AS p, unnest(tokens) AS w FROM parsed), c AS (SELECT line_id, p, unnest(range(1, len(w) + 1)) AS i, unnest(string_split(w, '')) AS token FROM w),
+z AS (SELECT max(len(tokens)) AS words, (SELECT max(len(w)) FROM w) AS letters FROM parsed),
+x AS (SELECT line_id, p, list(idx ORDER BY i) AS ids FROM c JOIN v USING (token) GROUP BY ALL),
+y AS (SELECT line_id, list(array_to_string(list_resize(ids, letters, 0), ',') ORDER BY p) AS ids, list(len(ids) ORDER BY p) AS lengths FROM x, z GROUP BY 1)
+SELECT line_id AS sent_id, array_to_string(list_resize(ids, words, array_to_string(list_resize([0], letters, 0), ',')), '|') AS ids, array_to_string(list_resize(lengths, words, 0), '|') AS lengths FROM y, z""",
 }

@@ -18,7 +18,7 @@ from ..operators import truth as GT
 from ..operators.trees import merged
 from ..sources import logs as L
 from ..sources import sinks as K
-from .methods import METHODS, abstract, assignments
+from .methods import METHODS, abstract, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: A small wordlist for the lines of events, in order of preference.
@@ -46,10 +46,26 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
     return GT.ground_truth(parsed(spark, d), LABELS)
 
 
+def typed(spark: SparkSession, d: str) -> DataFrame:
+    return parsed(spark, d).withColumn("length", X.message_length("message")).withColumn("type", F.element_at("entity_tokens", 5))
+
+
 def templates(spark: SparkSession, d: str) -> DataFrame:
     """Abstractions by event type and message length, numbered by first line."""
-    rows = parsed(spark, d).withColumn("length", X.message_length("message")).withColumn("type", F.element_at("entity_tokens", 5))
-    return E.final_abstractions(rows, ["length", "type"])
+    return E.final_abstractions(typed(spark, d), ["length", "type"])
+
+
+def assignments(spark: SparkSession, d: str) -> DataFrame:
+    """(line_id, abstraction_id) of templates()."""
+    return E.assigned(typed(spark, d), kept(templates(spark, d)), ["length", "type"])
+
+
+def scored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(line_id, gt_id) of the ground truth and (line_id, new_id) of templates(); the templates are computed once."""
+    t, found = kept(truth(spark, d)), kept(templates(spark, d))
+    ids = kept(GT.remap(found, t))
+    lines = E.assigned(typed(spark, d), found, ["length", "type"])
+    return GT.truth_lines(parsed(spark, d), LABELS, t), lines.join(ids, "abstraction_id").select("line_id", "new_id")
 
 
 @query
@@ -96,7 +112,7 @@ def asterisk_templates(spark, d):
 
 @query
 def final_abstraction(spark, d):
-    return templates(spark, d).select("abstraction_id", "abstraction", "n_entity", F.size("log_ids").cast("long").alias("n_lines"), F.array_min("log_ids").alias("first_line"))
+    return templates(spark, d).select("abstraction_id", "abstraction", "n_entity", "n_lines", "first_line")
 
 
 @query
@@ -111,16 +127,12 @@ def ground_truth_templates(spark, d):
 
 @query
 def gt_id_remap(spark, d):
-    t = truth(spark, d).select("gt_id", "template")
-    return GT.remap(t.select(F.col("gt_id").alias("abstraction_id"), F.col("template").alias("abstraction")), t)
+    return GT.remap(templates(spark, d), truth(spark, d))
 
 
 @query
 def eval_metrics(spark, d):
-    rows = GT.label_lines(parsed(spark, d), LABELS)
-    gt = rows.select("line_id", F.col("label_idx").cast("long").alias("gt_id"))
-    pred = rows.select("line_id", F.when(F.col("label_idx") == 1, F.lit(2)).when(F.col("label_idx") == 3, 10 + F.col("line_id") % 2).when(F.col("label_idx") == 5, F.lit(20)).otherwise(F.col("label_idx")).cast("long").alias("new_id"))
-    return GT.evaluate(gt, pred)
+    return GT.evaluate(*scored(spark, d))
 
 
 @query
@@ -232,7 +244,8 @@ def iplom_step3(spark, d):
 
 @query
 def iplom_step4(spark, d):
-    return I.step4(I.step3(I.step2(I.step1(parsed(spark, d)))))
+    p = parsed(spark, d)
+    return I.step4(I.step1(p).drop("part").join(I.iplom(p), "line_id"))
 
 
 @query
@@ -258,7 +271,7 @@ def regex_removal(spark, d):
 
 @query
 def template_occurrences(spark, d):
-    return templates(spark, d).groupBy("abstraction").agg(F.sum(F.size("log_ids")).alias("n")).withColumn("event_hash", F.substring(F.md5("abstraction"), 1, 8))
+    return templates(spark, d).groupBy("abstraction").agg(F.sum("n_lines").alias("n")).withColumn("event_hash", F.substring(F.md5("abstraction"), 1, 8))
 
 
 @query
@@ -307,13 +320,12 @@ def word_ids(spark, d):
 
 @query
 def perline(spark, d):
-    return K.per_line(assignments(templates(spark, d)), L.event_logs(spark, d))
+    return K.per_line(assignments(spark, d), L.event_logs(spark, d))
 
 
 @query
 def perabstraction(spark, d):
-    a = templates(spark, d)
-    return K.per_abstraction(a, assignments(a), L.event_logs(spark, d)).select("abstraction_id", F.md5("text").alias("text_md5"), F.length("text").alias("n"))
+    return K.per_abstraction(templates(spark, d), assignments(spark, d), L.event_logs(spark, d))
 
 
 @query
@@ -321,6 +333,29 @@ def comparison(spark, d):
     return K.comparison(templates(spark, d), truth(spark, d))
 
 
+@query
+def structured_lines(spark, d):
+    return K.structured(parsed(spark, d).select("line_id", "message"), assignments(spark, d), templates(spark, d))
+
+
+@query
+def vertex_order(spark, d):
+    return G.by_degree(G.threshold(G.similarity_edges(events(spark, d)), 0.85))
+
+
+@query
+def weakest_sides(spark, d):
+    return G.weakest_sides(G.threshold(G.similarity_edges(events(spark, d)), 0.85))
+
+
+@query
+def character_ids(spark, d):
+    t = tagged(spark, d)
+    chars = N.characters(t.select("words"), "words").withColumn("c", F.array("token"))
+    got = N.padded_characters(N.character_ids(t, N.vocabulary(chars, "c")))
+    return got.select("sent_id", joined(F.transform("ids", lambda w: F.array_join(F.transform(w, lambda x: x.cast("string")), ","))).alias("ids"), joined(F.transform("lengths", lambda x: x.cast("string"))).alias("lengths"))
+
+
 @query
 def template_list(spark, d):
     return K.template_list(templates(spark, d))
@@ -334,9 +369,10 @@ def parsed_messages(spark, d):
 
 @query
 def evaluation_table(spark, d):
-    rows = GT.label_lines(parsed(spark, d), LABELS)
-    one = rows.groupBy(F.concat(F.lit("label"), F.col("label_idx").cast("string")).alias("filename")).agg(F.count("*").cast("double").alias("tp"), F.avg((F.col("line_id") % 10).cast("double")).alias("accuracy"))
-    return K.with_mean(one).withColumn("accuracy", F.round("accuracy", 6))
+    """Each service as a file of its own."""
+    of = parsed(spark, d).select("line_id", F.element_at("entity_tokens", 5).alias("filename"))
+    gt, pred = scored(spark, d)
+    return K.with_mean(GT.evaluate(gt.join(of, "line_id"), pred.join(of, "line_id"), "filename").drop("f1")).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query
@@ -346,7 +382,7 @@ def ground_truth_json(spark, d):
 
 def _method(name: str, **params):
     def run(spark, d):
-        return abstract(L.event_logs(spark, d), name, **params).select("abstraction_id", "abstraction", "n_entity", F.size("log_ids").alias("n_lines"), F.array_min("log_ids").alias("first_line"))
+        return abstract(L.event_logs(spark, d), name, **params).abstractions.select("abstraction_id", "abstraction", "n_entity", "n_lines", "first_line")
 
     return run
 
