@@ -20,14 +20,23 @@ from loghew.llm.secrets import find_secrets, redact
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts and texts without a letter. lang becomes the predicted one."""
+    """Rejects documents without a language: null texts and texts without a letter. lang becomes the predicted one.
+
+    Ties of the prediction go to the language first by name; equal rows get equal languages and
+    all stay; without any labelled document texts with a letter keep their lang; an empty
+    table stays empty.
+    """
     net = fit(docs.select("doc_id", "text", "lang"), F.lit(True))
     got = predict(docs, net).where(F.col("lang_pred") != UNKNOWN) if net else docs.where(F.col("text").rlike(r"\p{L}")).withColumn("lang_pred", F.col("lang"))
     return got.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the least doc_id's (of texts that share it, one). Unlike texts stay, whatever their ids."""
+    """One document of each near-duplicate group stays: the least doc_id's (of texts that share it, one). Unlike texts stay, whatever their ids.
+
+    Rows equal in id and text are one; of those that differ in further columns the least
+    source, then lang, stays. Null and wordless texts have no duplicates. An empty table stays empty.
+    """
     unique = unique_ids(docs)
     kept = near_nodes(docs, unique).where("kept").select(F.col("doc_id").alias("k"), F.col("th").alias("t")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("k"))
@@ -39,7 +48,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking values of all kinds go out of the texts; copied ones and documents stay. n_chars follows the text."""
+    """Live-looking values of all kinds go out of the texts; copied ones and documents stay. n_chars follows the text.
+
+    Null ids, sources and texts stay; equal rows are redacted alike; an empty table stays empty.
+    """
     key = F.xxhash64("text")  # rows equal in id and text have the same places
     found = find_secrets(docs.withColumn("th", key), keep=("th",)).where("n_live > 0")
     found = stored(found.select(F.col("doc_id").alias("d"), "th", "found").dropDuplicates(["d", "th"]), "live")
@@ -49,7 +61,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document comes as often as the mix takes it, the one partly taken by its first words."""
+    """Sources at their target weights: a document comes as often as the mix takes it, the one partly taken by its first words.
+
+    Null sources are one source; null and wordless texts have no words to take and go; equal
+    rows share their copies; an empty table stays empty.
+    """
     got = mix_sources(docs).where("taken > 0")
     part = F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
@@ -60,7 +76,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of token sequences, with their ids."""
+    """The pieces of token sequences, with their ids.
+
+    A null text is its end alone; equal rows are packed once each; an empty table gives no pieces.
+    """
     return pack(docs, tokenizer(), 1024)
 
 
