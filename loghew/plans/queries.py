@@ -387,8 +387,10 @@ def _method(name: str, **params):
     return run
 
 
+#: Parameters that fit the lines of events: their messages have 3 to 7 words.
+PARAMETERS = {"logsig": {"k": 6}, "logmine": {"most": 0.4, "widen": 1.0}}
 for _name in METHODS:
-    QUERIES[f"method_{_name}"] = _method(_name, **({"k": 6} if _name == "logsig" else {}))
+    QUERIES[f"method_{_name}"] = _method(_name, **PARAMETERS.get(_name, {}))
 
 
 @query
