@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from loghew.plans.queries import QUERIES, events, tagged, truth
+from loghew.plans.queries import QUERIES, events, parsed, scored, tagged, templates, truth
 
 TYPES = ["signup", "purchase", "error", "view", "click"]
 
@@ -49,8 +49,40 @@ def test_gt_id_remap_knows_all_truth(spark, logs):
     own = defaultdict(list)
     for r in truth(spark, logs).collect():
         own[r.template].append(r.gt_id)
-    got = {r.abstraction_id: r.new_id for r in QUERIES["gt_id_remap"](spark, logs).collect()}
-    assert got == {i: max(ids) for ids in own.values() for i in ids}
+    found = {r.abstraction_id: r.abstraction.rstrip(" ") for r in templates(spark, logs).collect()}
+    fresh = iter(range(sum(map(len, own.values())), 10**6))
+    want = {i: max(own[t]) if t in own else next(fresh) for i, t in sorted(found.items())}
+    assert {r.abstraction_id: r.new_id for r in QUERIES["gt_id_remap"](spark, logs).collect()} == want
+    assert any(t in own for t in found.values())
+
+
+def test_evaluation_of_templates(spark, logs):
+    """The metrics by hand from lines, true groups and remapped templates, in all and for each service."""
+    gt, pred = scored(spark, logs)
+    of = {r.line_id: r.gt_id for r in gt.collect()}
+    to = {r.line_id: r.new_id for r in pred.collect()}
+    assert of.keys() == to.keys() == set(range(300))
+
+    def by_hand(lines):
+        tp = fp = fn = 0
+        for g in {of[i] for i in lines}:
+            own = [i for i in lines if of[i] == g]
+            ids = {to[i] for i in own}
+            if g in {to[i] for i in lines}:
+                tp += len(own)
+            elif len(ids) == 1:
+                fp += len(own)
+            else:
+                fn += len(own)
+        return tp, fp, fn
+
+    r = QUERIES["eval_metrics"](spark, logs).first()
+    assert (r.tp, r.fp, r.fn) == by_hand(set(of))
+    got = {r.filename: (r.tp, r.fp, r.fn) for r in QUERIES["evaluation_table"](spark, logs).collect()}
+    services = defaultdict(set)
+    for r in parsed(spark, logs).collect():
+        services[r.entity_tokens[4]].add(r.line_id)
+    assert got == {s: by_hand(lines) for s, lines in services.items()} | {"------": (None, None, None)}
 
 
 def test_word_ids_keep_every_word(spark, logs):
