@@ -156,7 +156,7 @@ def test_long_text_and_its_copy(spark):
     """A passage at the end of a text beyond 2**24 bytes comes again."""
     rnd = random.Random(8)
     passage = " ".join(f"p{rnd.random()}" for _ in range(60))
-    long = " ".join(f"{i:x}{i * 7919 % 1000003:x}" for i in range(1_450_000)) + " " + passage
+    long = " ".join(f"{i:x}{i * 7919 % 1000003:x}" for i in range(1_560_000)) + "! " + passage
     assert len(long) > 1 << 24
     rows = spark.createDataFrame([(1, long, ""), (2, "a b " + passage + " c", "")], SCHEMA)
     assert {r.doc_id: r.n_removed for r in dedup_bytes(rows).drop("kept").collect()} == {1: 0, 2: len(passage) + 1}  # the space before is equal as well
