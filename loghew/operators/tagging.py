@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,20 +56,42 @@ def padded_ids(rows: DataFrame, fill: int = 0) -> DataFrame:
     return got.select("sent_id", padded(F.col("ids"), F.col("most"), fill).alias("ids"), F.size("ids").alias("length"))
 
 
+def seen_characters(sentences: DataFrame) -> DataFrame:
+    """token, words, letters: every character in use (and an empty or null token where a sentence has none), with the most words of a sentence and letters of a word it was found beside."""
+    rows = sentences.select(F.size("words").alias("words"), F.coalesce(F.array_max(F.transform("words", F.length)), F.lit(0)).alias("letters"), F.split(F.array_join("words", ""), "").alias("token"))
+    return rows.select("words", "letters", F.explode_outer("token").alias("token")).groupBy("token").agg(F.max("words").alias("words"), F.max("letters").alias("letters"))
+
+
+def looked_up(code: Column, ids: dict[int, int], kind: str) -> Column:
+    """ids[code], or null: a constant array of pages of 256 code points, so that no lookup searches."""
+    pages = [[ids.get(p * 256 + i) for i in range(256)] if p in {c >> 8 for c in ids} else None for p in range(max(ids, default=-1) // 256 + 1)]
+    table = F.from_json(F.lit(json.dumps(pages)), f"array<array<{kind}>>")
+    return F.get(F.get(table, F.shiftright(code, 8)), code.bitwiseAND(255))
+
+
 def character_ids(sentences: DataFrame, chars: DataFrame) -> DataFrame:
-    """sent_id, ids: for each word the vocabulary indices of its characters, as written; unknown characters are dropped."""
-    words = sentences.select("sent_id", F.posexplode("words").alias("pos", "w"))
-    at = words.select("sent_id", "pos", F.posexplode(F.split("w", "")).alias("i", "token")).join(chars, "token")
-    held = at.groupBy("sent_id", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "idx"))), lambda x: x["idx"]).alias("ids"))
-    empty = F.expr("cast(array() as array<int>)")
-    full = words.select("sent_id", "pos").join(held, ["sent_id", "pos"], "left")
-    return full.groupBy("sent_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("ids", empty).alias("ids")))), lambda x: x["ids"]).alias("ids"))
+    """sent_id, ids: for each word the vocabulary indices of its characters, as written; unknown characters are dropped, a sentence without words has none.
+
+    The vocabulary is a bounded driver-side table (one row a character), looked up where the
+    sentence is: no character becomes a row, and nothing is shuffled.
+    """
+    kind = chars.schema["idx"].dataType.simpleString()
+    held = chars.where(F.length("token") == 1).groupBy(F.ascii("token").alias("code")).agg(F.min("idx").alias("idx"))
+    ids = {r["code"]: r["idx"] for r in held.collect()}
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+    found = lambda w: F.array_compact(F.transform(F.transform(F.split(w, ""), F.ascii), lambda c: looked_up(c, ids, kind)))
+    ids_of = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.coalesce(F.when(w != "", found(w)), empty))
+    return sentences.select("sent_id", ids_of.alias("ids"))
+
 
+def padded_characters(rows: DataFrame, fill: int = 0, most: DataFrame | None = None) -> DataFrame:
+    """sent_id, ids, lengths: every word filled up to the longest word, every sentence to the longest sentence; lengths are the words' own, 0 for those added.
 
-def padded_characters(rows: DataFrame, fill: int = 0) -> DataFrame:
-    """sent_id, ids, lengths: every word filled up to the longest word, every sentence to the longest sentence; lengths are the words' own, 0 for those added."""
+    most: one row with words and letters, the longest, where they are known; else rows are computed twice.
+    """
     sizes = F.transform("ids", F.size)
-    most = rows.agg(F.max(F.size("ids")).alias("words"), F.max(F.coalesce(F.array_max(sizes), F.lit(0))).alias("letters"))
+    if most is None:
+        most = rows.agg(F.max(F.size("ids")).alias("words"), F.max(F.coalesce(F.array_max(sizes), F.lit(0))).alias("letters"))
     got = rows.crossJoin(F.broadcast(most))  # one row
     blank = F.array_repeat(F.lit(fill), F.col("letters"))
     ids = F.transform("ids", lambda w: padded(w, F.col("letters"), fill))

@@ -350,10 +350,13 @@ def weakest_sides(spark, d):
 
 @query
 def character_ids(spark, d):
-    t = tagged(spark, d)
-    chars = N.characters(t.select("words"), "words").withColumn("c", F.array("token"))
-    got = N.padded_characters(N.character_ids(t, N.vocabulary(chars, "c")))
-    return got.select("sent_id", joined(F.transform("ids", lambda w: F.array_join(F.transform(w, lambda x: x.cast("string")), ","))).alias("ids"), joined(F.transform("lengths", lambda x: x.cast("string"))).alias("lengths"))
+    t = E.split_fields(L.event_logs(spark, d).where("raw is not null")).select(F.col("line_id").alias("sent_id"), F.col("tokens").alias("words"))
+    seen = kept(N.seen_characters(t))
+    chars = N.vocabulary(seen.where("token <> ''").select(F.array("token").alias("c")), "c")
+    most = seen.agg(F.max("words").alias("words"), F.max("letters").alias("letters"))  # the vocabulary has every character
+    got = N.padded_characters(N.character_ids(t, chars), most=most)
+    text = lambda c, between: F.btrim(F.replace(F.to_json(c), F.lit(between), F.lit("|")), F.lit("[]"))
+    return got.select("sent_id", text("ids", "],[").alias("ids"), text("lengths", ",").alias("lengths"))
 
 
 @query

@@ -248,6 +248,22 @@ def test_words_and_characters(spark):
     assert got == {0: ([[1, 2], [3, 0]], [2, 1]), 1: ([[0, 0], [0, 0]], [0, 0])}
 
 
+def test_character_ids_of_odd_words(spark):
+    """Any code point, empty and null words, equal sentence ids, none at all; a sentence stays in its row, so nothing is shuffled."""
+    rows = [(0, ["a\u00e9", "", "\U0001f600x\u4e2d"]), (0, [None, "?"]), (None, ["aa"]), (1, [])]
+    s = spark.createDataFrame(rows, "sent_id long, words array<string>")
+    chars = spark.createDataFrame([(5, "a"), (6, "\u00e9"), (7, "\u4e2d"), (8, "\U0001f600"), (9, "\x00"), (10, "xx")], "idx int, token string")
+    got = tagging.character_ids(s, chars)
+    assert sorted(((r.sent_id, r.ids) for r in got.collect()), key=str) == sorted([(0, [[5, 6], [], [8, 7]]), (0, [[], []]), (None, [[5, 5]]), (1, [])], key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    assert {tuple(map(tuple, r.ids)) for r in tagging.character_ids(s, chars.limit(0)).collect()} == {((), (), ()), ((), ()), ((),), ()}
+    seen = tagging.seen_characters(s).collect()
+    assert {r.token for r in seen if r.token} == set("a\u00e9\U0001f600x\u4e2d?") and max(r.words for r in seen) == max(r.letters for r in seen) == 3
+    most = spark.createDataFrame([(4, 3)], "words int, letters int")
+    assert (5, 6, 0) in {tuple(r.ids[0]) for r in tagging.padded_characters(got, most=most).collect() if len(r.ids) == 4}
+
+
 def test_vectors(spark, tmp_path):
     (tmp_path / "v.txt").write_text("a 1 2\nb 3 4\n")
     vocab = spark.createDataFrame([(0, "b")], ["idx", "token"])

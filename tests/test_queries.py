@@ -93,3 +93,18 @@ def test_word_ids_keep_every_word(spark, logs):
     for i, words in own.items():
         ids = [vocab.index(w) for w in words]
         assert got[i].length == len(words) and got[i].ids == "|".join(map(str, ids + [0] * (most - len(ids))))
+
+
+def test_character_ids_move_no_characters(spark, logs):
+    """By hand; sentences are not dealt out: what is shuffled is the sizes alone."""
+    own = {r.sent_id: r.words for r in tagged(spark, logs).collect()}
+    vocab = sorted({c for words in own.values() for w in words for c in w})
+    words, letters = max(map(len, own.values())), max(len(w) for x in own.values() for w in x)
+    df = QUERIES["character_ids"](spark, logs)
+    got = {r.sent_id: (r.ids, r.lengths) for r in df.collect()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert got.keys() == own.keys()
+    for i, x in own.items():
+        x = x + [""] * (words - len(x))
+        assert got[i] == ("|".join(",".join(str(n) for n in [*map(vocab.index, w), *[0] * (letters - len(w))]) for w in x), "|".join(str(len(w)) for w in x))
